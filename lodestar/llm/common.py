@@ -110,6 +110,10 @@ class Words:
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
         return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of a value of each word, by text."""
+        return np.bincount(self.row, weights=values, minlength=self.rows)
+
     def running(self, marks: np.ndarray) -> np.ndarray:
         """Number of marked bytes before each place."""
         return np.concatenate([[0], np.cumsum(marks)])

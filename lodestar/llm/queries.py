@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, importance, mixing, secrets, simhash
+from lodestar.llm import chat, decontaminate, html_text, importance, language, mixing, rules, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,18 +36,53 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    found = chat.formatted(turns.unionByName(extra)).select("conv_id", "formatted", "loss", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("learnt"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    size = lambda c: F.length(c).cast("long")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(told).alias("turns_sha256"), size(F.col("learnt")).alias("loss_chars"), digest(F.col("learnt")).alias("loss_sha256"), size(F.col("formatted")).alias("formatted_chars"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(_read(spark, sf_dir, "pages"), language.fit(_read(spark, sf_dir, "documents")))
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(_read(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), "votes", F.round("posterior", 9).alias("posterior"))
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination,
         "op2_secret_scan": secret_scan,
         "op3_quality_classifier": quality_classifier,
         "op4_simhash_near_dedup": simhash_near_dedup,
+        "op5_chat_formatting": chat_formatting,
+        "op6_language_id": language_id,
+        "op7_html_extraction": html_extraction,
         "op8_mixing_to_targets": mixing_to_targets,
+        "op9_quality_rules": quality_rules,
+        "op10_warc_round_trip": warc_round_trip,
     }
 
 
