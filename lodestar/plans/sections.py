@@ -15,9 +15,9 @@ Q = "q AS (SELECT dt, QUANTILE_CONT(px, 0.01) AS lo1, QUANTILE_CONT(px, 0.99) AS
 RK = "CASE WHEN {x} IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY dt, {x} IS NULL ORDER BY {x}, entity) END"
 
 
-@query("winsorized", f"{P}, {Q} SELECT entity, dt, ROUND(px / 7, 6) AS px, ROUND(r, 6) + 0.0 AS r FROM c")
+@query("winsorized", f"{P}, {Q} SELECT entity, dt, ROUND(px / 7.1::DOUBLE, 6) AS px, ROUND(r, 6) + 0.0 AS r FROM c")
 def winsorized(spark, sf_dir):
-    return tidy(X.winsorize(panel_frame(spark, sf_dir).select("entity", "dt", "px", "r"), ["px", "r"]).withColumn("px", F.col("px") / 7))
+    return tidy(X.winsorize(panel_frame(spark, sf_dir).select("entity", "dt", "px", "r"), ["px", "r"]).withColumn("px", F.col("px") / 7.1))
 
 
 def _z(x: str) -> str:
@@ -140,16 +140,16 @@ def mask_overlap(spark, sf_dir):
     return tidy(S.jaccard(df, F.col("r") > 0, F.col("n") >= 2, ["entity"]), 8)
 
 
-@query("wide_and_back", f"{P} SELECT dt, 'px_' || entity AS field, ROUND(MAX(px / 7), 6) AS value FROM p WHERE entity BETWEEN 1 AND 8 GROUP BY 1, 2")
+@query("wide_and_back", f"{P} SELECT dt, 'px_' || entity AS field, ROUND(MAX(px / 7.1::DOUBLE), 6) AS value FROM p WHERE entity BETWEEN 1 AND 8 GROUP BY 1, 2")
 def wide_and_back(spark, sf_dir):
-    df = panel_frame(spark, sf_dir).where(F.col("entity").between(1, 8)).withColumn("px", F.col("px") / 7)
+    df = panel_frame(spark, sf_dir).where(F.col("entity").between(1, 8)).withColumn("px", F.col("px") / 7.1)
     table_ = S.wide(df, "dt", "entity", "px", list(range(1, 9)))
     return tidy(S.long(table_, ["dt"], [c for c in table_.columns if c != "dt"]))
 
 
 @query("filled_grid", f"""{P}, d AS (SELECT DISTINCT dt FROM p), e AS (SELECT DISTINCT entity FROM p), g AS (SELECT d.dt, e.entity, px FROM d CROSS JOIN e LEFT JOIN p ON p.dt = d.dt AND p.entity = e.entity)
-SELECT dt, entity, ROUND(LAST_VALUE(px / 7 IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS px FROM g""")
+SELECT dt, entity, ROUND(LAST_VALUE(px / 7.1::DOUBLE IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS px FROM g""")
 def filled_grid(spark, sf_dir):
     df = panel_frame(spark, sf_dir)
     whole = S.grid(df.select("dt").distinct(), df.select("entity").distinct(), df.select("dt", "entity", "px"), ["dt", "entity"])
-    return tidy(whole.select("dt", "entity", (R.forward_fill("px") / 7).alias("px")))
+    return tidy(whole.select("dt", "entity", (R.forward_fill("px") / 7.1).alias("px")))

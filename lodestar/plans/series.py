@@ -100,10 +100,10 @@ def entity_drawdown(spark, sf_dir):
     return tidy(df.select("entity", "dt", R.drawdown(F.col("cum")).alias("drawdown")), 5)
 
 
-@query("differences_and_fills", f"""{P}, s0 AS (SELECT entity, dt, n, px / 7 AS px FROM p), s AS (SELECT *, CASE WHEN n >= 2 THEN px END AS sparse FROM s0) SELECT entity, dt, ROUND(px - LAG(px, 1) OVER o, 6) + 0.0 AS d1, ROUND(px - LAG(px, 5) OVER o, 6) + 0.0 AS d5, ROUND(px - LAG(px, 21) OVER o, 6) + 0.0 AS d21,
+@query("differences_and_fills", f"""{P}, s0 AS (SELECT entity, dt, n, px / 7.1::DOUBLE AS px FROM p), s AS (SELECT *, CASE WHEN n >= 2 THEN px END AS sparse FROM s0) SELECT entity, dt, ROUND(px - LAG(px, 1) OVER o, 6) + 0.0 AS d1, ROUND(px - LAG(px, 5) OVER o, 6) + 0.0 AS d5, ROUND(px - LAG(px, 21) OVER o, 6) + 0.0 AS d21,
 ROUND(LAST_VALUE(sparse IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS filled, ROUND(LAST_VALUE(sparse IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS filled5 FROM s WINDOW o AS (PARTITION BY entity ORDER BY dt)""")
 def differences_and_fills(spark, sf_dir):
-    df = panel_frame(spark, sf_dir).withColumn("px", F.col("px") / 7).withColumn("sparse", F.when(F.col("n") >= 2, F.col("px")))
+    df = panel_frame(spark, sf_dir).withColumn("px", F.col("px") / 7.1).withColumn("sparse", F.when(F.col("n") >= 2, F.col("px")))
     return tidy(df.select("entity", "dt", *(R.change("px", k).alias(f"d{k}") for k in (1, 5, 21)), R.forward_fill("sparse").alias("filled"), R.forward_fill("sparse", 5).alias("filled5")))
 
 
