@@ -19,17 +19,17 @@ from lodestar.session import cut
 #: Code points between parts that may belong to one credential, at most.
 SCOPE = 200
 _KEY = r"(?i:password|passwd|secret|token|api_?key)"
-#: kind: (pattern, groups, least size of the last group), in the order in which spans at one place are listed.
+#: kind: (pattern, groups, least size of the last group, strings one of which a text needs), in the order in which spans at one place are listed.
 STRONG = {
-    "assign": (rf"""({_KEY}["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": (r"(AKIA[A-Z0-9]{16,})", 1, 20),
-    "hex": (r"([0-9a-f]{24,})", 1, 24),
+    "assign": (rf"""({_KEY}["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 2, 6, ("=", ":")),
+    "access": (r"(AKIA[A-Z0-9]{16,})", 1, 20, ("AKIA",)),
+    "hex": (r"((?<![0-9a-f])[0-9a-f]{24,})", 1, 24, ()),
 }
 WEAK = {
-    "account": (r"""((?i:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.@-]+)""", 2, 3),
-    "endpoint": (r"""((?i:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?))([A-Za-z0-9][A-Za-z0-9.:_-]+)""", 2, 4),
+    "account": (r"""((?i:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.@-]+)""", 2, 3, ("=", ":")),
+    "endpoint": (r"""((?i:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?))([A-Za-z0-9][A-Za-z0-9.:_-]+)""", 2, 4, ("=", ":")),
     # 20 or more of the base-64 alphabet with a capital, a small letter and a digit
-    "opaque": (r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2})", 1, 20),
+    "opaque": (r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2})", 1, 20, ()),
 }
 KINDS = [*STRONG, *WEAK]
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
@@ -38,8 +38,8 @@ ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "iden
 NEEDS = {"secret": ("identifier",), "identifier": ("secret",), "endpoint": ("identifier", "secret")}
 
 
-def _kind(text: Column, rank: int, pattern: str, groups: int, least: int) -> Column:
-    kept = F.filter(matches(text, pattern, groups), lambda m: m["size"] >= least)
+def _kind(text: Column, rank: int, pattern: str, groups: int, least: int, needs: tuple[str, ...]) -> Column:
+    kept = F.filter(matches(text, pattern, groups, needs), lambda m: m["size"] >= least)
     return F.transform(kept, lambda m: F.struct(m["start"], F.lit(rank).alias("rank"), m["end"]))
 
 
@@ -101,7 +101,7 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """
     ends = F.transform(spans, lambda s: s["end"])
     n = F.size(spans)
-    # spans are by start: the furthest end before the i-th is the maximum of the ends before it
+    # spans are by start: the furthest end before the i-th is the maximum of the ends before it; a text has few spans
     reach = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0)))
     kept = F.transform(
         F.arrays_zip(spans.alias("s"), reach.alias("r")),
