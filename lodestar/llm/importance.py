@@ -27,7 +27,7 @@ TEMPERATURE = 0.001
 #: Share of the labelled rows that calibrate how much to keep rather than fit the target model.
 HELD_OUT = 0.25
 #: Share of held-out good rows that may fall below the last one kept.
-LOSE = 0.002
+LOSE = 0.001
 #: Labelled rows from which the target model and the share to keep are taken, at most.
 MAX_LABELLED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -145,30 +145,28 @@ def kth_largest(values: DataFrame, column: str, k: int, few: int = 10_000) -> fl
     return float(low)
 
 
-def share_to_keep(weighed: DataFrame, model: Model, lose: float = LOSE) -> float:
-    """The share of held-out labelled rows whose weight reaches all but ``lose`` of the good ones' weights.
+def number_to_keep(weighed: DataFrame, model: Model, lose: float = LOSE) -> int:
+    """How many rows have the weight that all but ``lose`` of the held-out good rows reach.
 
-    It reads the weights of the held-out rows only, whose number ``fit`` bounds. 1 if none of them is good.
+    Only the weights of held-out rows come to the driver, whose number ``fit`` bounds. All rows if none of them is good.
     """
-    if not model.held_good.any():
-        return 1.0
-    held = weighed.sparkSession.createDataFrame([(int(d), bool(g)) for d, g in zip(model.held_ids, model.held_good, strict=True)], "doc_id long, good boolean")
-    rows = weighed.join(F.broadcast(held), "doc_id").groupBy("doc_id").agg(F.min("log_weight"), F.first("good")).collect()
-    good = [w for _, w, g in rows if g]
-    return sum(w >= np.quantile(good, lose) for _, w, _ in rows) / len(rows) if good else 1.0
+    good = [int(d) for d, g in zip(model.held_ids, model.held_good, strict=True) if g]
+    held = weighed.sparkSession.createDataFrame([(d,) for d in good], "doc_id long")
+    weights = [r[0] for r in weighed.join(F.broadcast(held), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w")).select("w").collect()]
+    return weighed.where(F.col("log_weight") >= float(np.quantile(weights, lose, method="lower"))).count() if weights else weighed.count()
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 7, temperature: float = TEMPERATURE, text: str = "text", doc_id: str = "doc_id", **options) -> tuple[DataFrame, Model, float]:
     """``(doc_id, log_weight, key, selected)`` for every row, the model, and the smallest selected key.
 
-    ``keep`` of the rows are drawn; by default as large a share as of held-out labelled rows (see share_to_keep). Ties at the last place are all
+    ``keep`` of the rows are drawn; by default as many as number_to_keep says. Ties at the last place are all
     selected, so repeated rows are selected or left together. Null text counts as empty. A null doc_id is kept and
     has noise of its own. Other columns play no part. An empty table gives no rows.
     """
     model = fit(docs, labels, text=text, doc_id=doc_id, **options)
     weighed = docs.select(F.col(doc_id).alias("doc_id"), log_weight(docs, model, text).alias("log_weight"))
     keyed = cut(weighed.withColumn("key", F.col("log_weight") / temperature + gumbel(F.col("doc_id"), seed)))
-    least = kth_largest(keyed, "key", round(keyed.count() * (share_to_keep(keyed, model) if keep is None else keep)))
+    least = kth_largest(keyed, "key", number_to_keep(keyed, model) if keep is None else round(keyed.count() * keep))
     least = float("inf") if least is None else least
     return keyed.withColumn("selected", F.col("key") >= F.lit(least)), model, least
 

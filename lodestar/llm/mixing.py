@@ -89,13 +89,32 @@ def _permuted(index: Column, n: Column, source: Column, seed: int) -> Column:
     return F.pmod(index * (F.lit(2_147_483_629) % n) + base, n)
 
 
-def pick(sizes: list[int], quota: float) -> list[int]:
-    """In the given order, takes what fits into the quota: the place of each taken size among them, -1 for others."""
-    out, at = [], 0
+def pick(sizes: list[int], quota: float, least: float, most: float) -> list[int]:
+    """Takes sizes of about ``quota`` in all: the place of each among those taken, -1 for others.
+
+    First what fits, in the given order. If that is below ``least``, single sizes are added or exchanged for as long as
+    that brings the sum nearer to the range from ``least`` to ``most``.
+    """
+    off_range = lambda t: max(least - t, t - most, 0)
+    taken, total = [], 0
     for size in sizes:
-        fits = at + size <= quota
-        out.append(at if fits else -1)
-        at += size if fits else 0
+        taken.append(total + size <= quota)
+        total += size if taken[-1] else 0
+    while total < least:
+        moves = [(off_range(total + s), k, -1) for k, s in enumerate(sizes) if not taken[k]]
+        moves += [(off_range(total + s - sizes[j]), k, j) for k, s in enumerate(sizes) if not taken[k] for j in range(len(sizes)) if taken[j]]
+        off, k, j = min(moves, default=(math.inf, -1, -1))
+        if off >= off_range(total):
+            break
+        taken[k] = True
+        total += sizes[k]
+        if j >= 0:
+            taken[j] = False
+            total -= sizes[j]
+    out, at = [], 0
+    for size, used in zip(sizes, taken, strict=True):
+        out.append(at if used else -1)
+        at += size if used else 0
     return out
 
 
@@ -105,31 +124,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     New columns: ``size`` (words), ``source_size``, ``target``, ``copies`` (how often the mix takes the row) and
     ``draws``: for each copy ``struct<copy,shard,place>``; a copy's shard is its output file, and place orders a shard.
     Longer names are used where ``docs`` has such columns. Sources by code point, null last, take the weights in turn.
-    Null text counts as empty: size 0, which adds nothing to any target. Repeated rows are rows of their own; which of
-    them is taken is arbitrary, how many isn't. Null doc_ids are allowed. An empty table gives no rows.
+    Null text counts as empty: size 0, which adds nothing to any target. Repeated rows are rows of their own, of which
+    as many are taken in every run. Null doc_ids are allowed. An empty table gives no rows.
     """
     size, cell, h, rank, at, offset = (fresh(docs, x) for x in ("size", "cell", "h", "rank", "at", "offset"))
     names = {x: fresh(docs, x) for x in ("source_size", "target", "copies", "draws")}
     none = F.array().cast("array<struct<copy:bigint,shard:bigint,place:bigint>>")
-    sized = docs.withColumn(size, n_words(F.col(text)))
-    slim = cut(sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).alias("size")))
+    noise = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(seed))
+    sized = docs.withColumns({size: n_words(F.col(text)), h: noise})
+    slim = cut(sized.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).alias("size"), h))
     found = slim.groupBy("source").agg(F.sum("size"), F.count("*")).collect()  # a row for each source
     if not found:
-        return sized.withColumns({names["source_size"]: F.lit(0).cast("long"), names["target"]: F.lit(0.0), names["copies"]: F.lit(0).cast("long"), names["draws"]: none})
+        return sized.drop(h).withColumns({names["source_size"]: F.lit(0).cast("long"), names["target"]: F.lit(0.0), names["copies"]: F.lit(0).cast("long"), names["draws"]: none})
     found.sort(key=lambda r: (r[0] is None, r[0]))
     goal = targets([r[1] for r in found], weights, total, most)
     session, schema = docs.sparkSession, f"source {dict(docs.dtypes)[source]}, no int, total long, cells long, goal double, full long"
     rows = [(r[0], k, r[1], max(1, -(-r[2] // BUCKET)), g, int(g // r[1]) if r[1] else 0) for k, (r, g) in enumerate(zip(found, goal, strict=True))]
 
-    def placed(df: DataFrame, table: DataFrame, src: str, d: str, words: str) -> DataFrame:
+    def placed(df: DataFrame, table: DataFrame, src: str, words: str) -> DataFrame:
         t = table.select(*(F.col(c).alias(f"__{c}") for c in table.columns))
         out = df.join(F.broadcast(t) if len(rows) <= 100_000 else t, F.col(src).eqNullSafe(F.col("__source")))
         heavy = F.col(words) > HEAVY * F.col("__total")
-        out = out.withColumn(h, F.xxhash64(F.coalesce(F.col(d).cast("string"), F.lit("")), F.lit(seed)))
         return out.withColumn(cell, F.when(heavy, -1).otherwise(F.pmod(F.xxhash64(h), F.col("__cells"))).cast("long"))
 
     # the heavy rows of a source, at most 1 / HEAVY, and what the light ones have
-    base = placed(slim, session.createDataFrame(rows, schema), "source", "doc_id", "size")
+    base = placed(slim, session.createDataFrame(rows, schema), "source", "size")
     listed = F.sort_array(F.collect_list(F.struct(h, "doc_id", "size")))
     heavies = {r[0]: list(r[1]) for r in base.where(F.col(cell) == -1).groupBy("__no").agg(F.transform(listed, lambda x: x["size"])).collect()}
     table, blocks = [], []
@@ -137,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
         sizes = heavies.get(k, [])
         light = words - sum(sizes)
         rest = min(g - full * words, words)
-        places = pick(sizes, min(max(rest * sum(sizes) / max(words, 1), rest - light), rest))
+        places = pick(sizes, min(max(rest * sum(sizes) / max(words, 1), rest - light), rest), rest - light, rest)
         taken = sum(s for s, p in zip(sizes, places, strict=True) if p >= 0)
         quota = min(max(rest - taken, 0), light)
         blocks.append(max(1, math.ceil((full * words + taken + quota) / BLOCK)))
@@ -152,7 +171,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     begins = base.groupBy("__no", cell).agg(F.sum("size").alias("words")).withColumn(offset, F.coalesce(F.sum("words").over(before), F.lit(0)))
     begins = begins.select(F.col("__no").alias("__cell_no"), F.col(cell).alias("__cell"), offset)
     order = Window.partitionBy("__no", cell).orderBy(h, doc_id, size)
-    here = placed(sized, ready, source, doc_id, size).join(begins, (F.col("__no") == F.col("__cell_no")) & (F.col(cell) == F.col("__cell")))
+    here = placed(sized, ready, source, size).join(begins, (F.col("__no") == F.col("__cell_no")) & (F.col(cell) == F.col("__cell")))
     here = here.withColumn(rank, F.row_number().over(order)).withColumn(at, F.col(offset) + F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
     heavy_place, light_at = F.get(F.col("__places"), F.col(rank) - 1), F.col(at) - F.col("__heavy")
     extra = F.when(F.col(cell) == -1, heavy_place >= 0).otherwise(light_at + F.col(size) / 2 < F.col("__quota"))
