@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, decontaminate, html_text, importance, language, mixing, rules, secrets, simhash, warc
+from lodestar.llm import chat, decontaminate, html_text, importance, language, mixing, oracle, rules, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,4 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express. doc_ids of the tables are unique, as the SQL for the secret scan takes for granted."""
+    return {
+        "op2_secret_scan": oracle.secrets(secrets.STRONG, secrets.WEAK, secrets.ROLE, secrets.NEEDS, secrets.SCOPE),
+        "op5_chat_formatting": oracle.CHAT,
+        "op10_warc_round_trip": oracle.WARC,
+    }
