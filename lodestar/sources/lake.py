@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,7 +110,16 @@ def replace_years(df: DataFrame, path: str, date_column: str, force: bool = Fals
             raise ValueError(f"years would shrink: {shrunk}")
         good = conform(good, {c: t for c, t in old_frame.dtypes if c not in ("year", "month")})
     dated = good.withColumns({"year": F.year(date_column), "month": F.month(date_column)})
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "month").parquet(path)
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    dated.write.option("compression", "zstd").partitionBy("year", "month").parquet(staging)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for year in new:  # whole years change places, so that no month of an old one stays
+        fs.mkdirs(at(path))
+        fs.delete(at(f"{path}/year={year}"), True)
+        if not fs.rename(at(f"{staging}/year={year}"), at(f"{path}/year={year}")):
+            raise OSError(f"year {year} could not be put in place; it is whole in {staging}")
+    fs.delete(at(staging), True)
     return {"rows": sum(new.values()), "rejects": rejected}
 
 
