@@ -154,3 +154,33 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, events.windowed(batch).collect()))
+
+
+@pytest.mark.parametrize("method", ["eg", "pamr", "olmar"])
+def test_online_weights_are_portfolios(spark, panel, method):
+    from lodestar.operators import sequential
+
+    got = sequential.online_portfolio(panel, "r", panel.select("entity").distinct(), method).toPandas()
+    assert np.allclose(got.groupby("dt").weight.sum(), 1) and (got.weight > -1e-12).all()
+    assert (got[got.dt == got.dt.min()].weight.round(12) == round(1 / 6, 12)).all()
+
+
+@pytest.mark.parametrize("method", ["min_variance", "max_diversification", "mean_variance", "hierarchical"])
+def test_optimised_weights_use_the_past_only(spark, panel, method):
+    from lodestar.operators import sequential
+
+    at = spark.createDataFrame([(day(50),)], "dt date")
+    get = lambda df: sequential.optimised(df, "r", at, method, least=20).toPandas().sort_values("entity").weight.to_numpy()
+    w = get(panel)
+    assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
+    later = panel.withColumn("r", F.when(F.col("dt") >= F.lit(day(50)), F.lit(5.0)).otherwise(F.col("r")))
+    np.testing.assert_allclose(get(later), w)
+
+
+def test_past_percentile(spark):
+    from lodestar.operators import sequential
+
+    values = [3.0, 1.0, None, 3.0, 2.0]
+    df = spark.createDataFrame([(0, day(i), v) for i, v in enumerate(values)], "entity int, dt date, x double")
+    got = sequential.past_percentile(df, "x").toPandas().sort_values("dt").percentile.tolist()
+    np.testing.assert_allclose(got, [np.nan, 0.0, np.nan, 1.0, 1 / 3], equal_nan=True)
