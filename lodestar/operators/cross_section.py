@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.panel import PANEL, Panel, clip, ratio
+from lodestar.panel import PANEL, Panel, clip, correlation, ratio
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, panel: Panel = PANEL) -> DataFrame:
@@ -70,7 +70,7 @@ def information_coefficient(df: DataFrame, x: str, label: str, least: int = 5, p
     """Correlation of ordinal ranks by date, over rows that have both."""
     both = df.where(F.col(x).isNotNull() & F.col(label).isNotNull())
     ranked = both.withColumns({"__x": ordinal_rank(x, panel), "__y": ordinal_rank(label, panel)})
-    return ranked.groupBy(panel.time).agg(F.corr("__x", "__y").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return ranked.groupBy(panel.time).agg(correlation("__x", "__y").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def ic_decay(df: DataFrame, x: str, r: str, horizons: tuple[int, ...] = (1, 3, 6, 12), panel: Panel = PANEL) -> DataFrame:
@@ -79,7 +79,7 @@ def ic_decay(df: DataFrame, x: str, r: str, horizons: tuple[int, ...] = (1, 3, 6
     ahead = led.select(panel.time, panel.entity, x, F.inline("__a"))
     both = ahead.where(F.col(x).isNotNull() & F.col("y").isNotNull())
     rank = lambda c: F.row_number().over(Window.partitionBy(panel.time, "horizon").orderBy(c, panel.entity))
-    daily = both.withColumns({"__x": rank(x), "__y": rank("y")}).groupBy("horizon", panel.time).agg(F.corr("__x", "__y").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    daily = both.withColumns({"__x": rank(x), "__y": rank("y")}).groupBy("horizon", panel.time).agg(correlation("__x", "__y").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     return daily.groupBy("horizon").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("dates"))
 
 

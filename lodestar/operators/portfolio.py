@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.panel import PANEL, UNBOUNDED, Panel, ratio
+from lodestar.panel import PANEL, UNBOUNDED, Panel, correlation, ratio
 
 
 def normalised(raw: Column, panel: Panel = PANEL) -> Column:
@@ -93,7 +93,7 @@ def reentry(df: DataFrame, weight: str = "weight", eps: float = 1e-6, panel: Pan
 
 
 def autocorrelation(df: DataFrame, x: str, lag: int = 1, panel: Panel = PANEL) -> DataFrame:
-    return df.withColumn("__y", F.lag(x, lag).over(panel.series)).groupBy(panel.entity).agg(F.corr(x, "__y").alias("autocorrelation"), F.count("__y").alias("n"))
+    return df.withColumn("__y", F.lag(x, lag).over(panel.series)).groupBy(panel.entity).agg(correlation(x, "__y").alias("autocorrelation"), F.count("__y").alias("n"))
 
 
 def performance(df: DataFrame, pnl: str = "pnl", by: list[str] | None = None, periods: int = 252) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.panel import UNBOUNDED, ratio
+from lodestar.panel import UNBOUNDED, correlation, ratio
 
 
 def hac_mean(df: DataFrame, x: str, time: str, by: str) -> DataFrame:
@@ -254,7 +254,7 @@ def pairwise_correlation(df: DataFrame, x: str, time: str, entity: str, entities
     """(a, b, corr) over common dates for a stated, small set of entities."""
     few = df.join(F.broadcast(entities), entity, "left_semi").where(F.col(x).isNotNull()).select(time, entity, x)
     left, right = few.toDF(time, "a", "x"), few.toDF(time, "b", "y")
-    return left.join(right, time).where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    return left.join(right, time).where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def tail_dependence(df: DataFrame, x: str, time: str, entity: str, entities: DataFrame, level: float = 0.9) -> DataFrame:

@@ -55,3 +55,10 @@ def finite(x: Column) -> Column:
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate over rows that have both; null where one of them doesn't vary, which plain ``corr`` fails on."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))

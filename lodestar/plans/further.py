@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import reshape as S
 from lodestar.operators import sequential as G
 from lodestar.operators import statistics as Z
-from lodestar.panel import PANEL, Panel
+from lodestar.panel import PANEL, Panel, correlation
 from lodestar.plans.registry import PANEL_SQL as P
 from lodestar.plans.registry import panel_frame, query, table, tidy, win
 from lodestar.plans.sections import _NATION, _grouped
@@ -62,10 +62,10 @@ def breadth(spark, sf_dir):
     return tidy(pairs.agg(rho.alias("mean_corr"), (25 / (1 + 24 * rho)).alias("effective_n")), effective_n=4)
 
 
-@query("signal_refresh", f"{P}, l AS (SELECT dt, spread, LAG(spread) OVER (PARTITION BY entity ORDER BY dt) AS y FROM p) SELECT dt, ROUND(CORR(spread, y), 6) + 0.0 AS ar1, COUNT(y) AS n FROM l WHERE y IS NOT NULL GROUP BY dt HAVING COUNT(y) >= 5")
+@query("signal_refresh", f"{P}, l AS (SELECT dt, spread, LAG(spread) OVER (PARTITION BY entity ORDER BY dt) AS y FROM p) SELECT dt, ROUND(COVAR_POP(spread, y) / NULLIF(STDDEV_POP(spread) * STDDEV_POP(y), 0), 6) + 0.0 AS ar1, COUNT(y) AS n FROM l WHERE y IS NOT NULL GROUP BY dt HAVING COUNT(y) >= 5")
 def signal_refresh(spark, sf_dir):
     df = panel_frame(spark, sf_dir).withColumn("y", F.lag("spread").over(PANEL.series)).where("y is not null")
-    return tidy(df.groupBy("dt").agg(F.corr("spread", "y").alias("ar1"), F.count("y").alias("n")).where("n >= 5"))
+    return tidy(df.groupBy("dt").agg(correlation("spread", "y").alias("ar1"), F.count("y").alias("n")).where("n >= 5"))
 
 
 @query("turbulence")
