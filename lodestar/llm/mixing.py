@@ -92,25 +92,27 @@ def _permuted(index: Column, n: Column, source: Column, seed: int) -> Column:
 def pick(sizes: list[int], quota: float, least: float, most: float) -> list[int]:
     """Takes sizes of about ``quota`` in all: the place of each among those taken, -1 for others.
 
-    First what fits, in the given order. If that is below ``least``, single sizes are added or exchanged for as long as
-    that brings the sum nearer to the range from ``least`` to ``most``.
+    First what fits, in the given order. If that is not from ``least`` to ``most``, the sum nearest to that range is
+    sought among all sums (in units of 1 / 65536 of all sizes).
     """
     off_range = lambda t: max(least - t, t - most, 0)
     taken, total = [], 0
     for size in sizes:
         taken.append(total + size <= quota)
         total += size if taken[-1] else 0
-    while total < least:
-        moves = [(off_range(total + s), k, -1) for k, s in enumerate(sizes) if not taken[k]]
-        moves += [(off_range(total + s - sizes[j]), k, j) for k, s in enumerate(sizes) if not taken[k] for j in range(len(sizes)) if taken[j]]
-        off, k, j = min(moves, default=(math.inf, -1, -1))
-        if off >= off_range(total):
-            break
-        taken[k] = True
-        total += sizes[k]
-        if j >= 0:
-            taken[j] = False
-            total -= sizes[j]
+    if off_range(total) > 0:
+        unit = max(1, -(-sum(sizes) // 65536))
+        units, reached = [round(s / unit) for s in sizes], [1]
+        for u in units:
+            reached.append(reached[-1] | reached[-1] << u)
+        sums = [k for k, bit in enumerate(reversed(bin(reached[-1])[2:])) if bit == "1"]
+        at, other = min(sums, key=lambda k: (off_range(k * unit), abs(k * unit - quota))), [False] * len(sizes)
+        for k in range(len(sizes) - 1, -1, -1):
+            if not reached[k] >> at & 1:
+                other[k] = True
+                at -= units[k]
+        if off_range(sum(s for s, used in zip(sizes, other, strict=True) if used)) < off_range(total):
+            taken = other
     out, at = [], 0
     for size, used in zip(sizes, taken, strict=True):
         out.append(at if used else -1)

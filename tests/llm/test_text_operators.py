@@ -263,6 +263,19 @@ def test_targets():
     assert mixing.targets([], (5, 2, 1)) == [] and mixing.targets([0, 0]) == [0, 0]
 
 
+def test_pick_finds_the_nearest_sum():
+    from itertools import combinations
+
+    rng = random.Random(2)
+    for _ in range(60):
+        sizes = [rng.randrange(1, 400) for _ in range(rng.randrange(1, 9))]
+        least = rng.uniform(0, sum(sizes))
+        most = least + rng.choice([0, 20])
+        off = lambda t: max(least - t, t - most, 0)  # noqa: E731, B023
+        places = mixing.pick(sizes, (least + most) / 2, least, most)
+        assert off(sum(s for s, p in zip(sizes, places, strict=True) if p >= 0)) == min(off(sum(c)) for n in range(len(sizes) + 1) for c in combinations(sizes, n))
+
+
 def test_splitting_tree_is_exact():
     for blocks, shards in (([100, 3, 0, 57], 7), ([5], 8), ([0, 0], 3), ([10**10, 7], 4)):
         q = mixing.split_blocks(blocks, shards)
