@@ -1,6 +1,8 @@
 """Operators that need a matrix, a solver or the state of the step before: one series or one rebalance date at a time.
 
-Groups are bounded by the calendar and by the stated entities; anything that windows can express is in the other modules.
+Groups are a series, the window of a rebalance date or a block of dates. Only the online portfolios, whose every step needs
+all weights of the one before, walk over the whole table of dates by entities in one task. Anything that windows can
+express is in the other modules.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from bisect import bisect_right, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.panel import PANEL, Panel
@@ -72,24 +74,37 @@ def matrix(df: DataFrame, x: str, panel: Panel = PANEL):
     return table
 
 
-def turbulence(df: DataFrame, x: str, entities: DataFrame, window: int = 252, least: int = 60, panel: Panel = PANEL) -> DataFrame:
-    """Squared Mahalanobis distance of each date from the strictly earlier window, by the number of usable entities."""
-    few = df.join(F.broadcast(entities), panel.entity, "left_semi").select(panel.entity, panel.time, x).withColumn("__all", F.lit(0))
-    table = matrix(df, x, panel)
+def turbulence(df: DataFrame, x: str, window: int = 252, least: int = 60, block: int = 63, panel: Panel = PANEL) -> DataFrame:
+    """Squared Mahalanobis distance of each date from the strictly earlier window, by the number of usable entities.
+
+    Dates run in parallel by blocks, each with the window before it; a row goes to as many blocks as its window reaches.
+    """
+    rows = df.select(panel.entity, panel.time, F.col(x).cast("double").alias(x)).where(F.col(x).isNotNull() & ~F.isnan(x))
+    dates = rows.select(panel.time).distinct().withColumn("__i", F.row_number().over(Window.orderBy(panel.time)) - 1)
+    dates = dates.withColumn("__last", F.max("__i").over(Window.partitionBy(F.lit(0))))
+    reach = F.floor(F.least(F.col("__i") + window, F.col("__last")) / block)
+    dates = dates.select(panel.time, "__i", F.explode(F.sequence(F.floor(F.col("__i") / block), reach)).alias("__block"))
 
     def distances(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = table(pdf)
-        v, out = m.to_numpy(float), np.full(len(m), np.nan)
-        for t in range(least, len(m)):
+        begin = int(pdf["__block"].iloc[0]) * block
+        days = pdf[["__i", panel.time]].drop_duplicates().sort_values("__i")
+        index = days["__i"].to_numpy()
+        # a usable entity has more than 0.9 of some date's window
+        held = pdf[pdf.groupby(panel.entity)[x].transform("size") > 0.9 * min(window, max(least, begin))]
+        code, names = pd.factorize(held[panel.entity])
+        v, out = np.full((len(index), len(names)), np.nan), np.full(len(index), np.nan)
+        v[np.searchsorted(index, held["__i"]), code] = held[x]
+        for t in np.flatnonzero(index >= max(begin, least)):
             past = v[max(0, t - window) : t]
             use = np.isfinite(v[t]) & (np.isfinite(past).mean(0) > 0.9)
             past = past[np.isfinite(past[:, use]).all(1)][:, use]
             if use.sum() and len(past) > max(least // 2, use.sum() + 1):
                 d = v[t, use] - past.mean(0)
                 out[t] = d @ np.linalg.pinv(np.atleast_2d(np.cov(past, rowvar=False))) @ d / use.sum()
-        return pd.DataFrame({panel.time: m.index, "turbulence": out})
+        own = index >= begin
+        return pd.DataFrame({panel.time: days[panel.time].to_numpy()[own], "turbulence": out[own]})
 
-    return few.groupBy("__all").applyInPandas(distances, f"{panel.time} {dict(df.dtypes)[panel.time]}, turbulence double")
+    return rows.join(dates, panel.time).groupBy("__block").applyInPandas(distances, f"{panel.time} {dict(df.dtypes)[panel.time]}, turbulence double")
 
 
 def _simplex(v: np.ndarray) -> np.ndarray:
@@ -99,9 +114,13 @@ def _simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - css[np.flatnonzero(u > css)[-1]], 0)
 
 
-def online_portfolio(df: DataFrame, r: str, entities: DataFrame, method: str = "eg", eta: float = 0.05, window: int = 5, epsilon: float | None = None, panel: Panel = PANEL) -> DataFrame:
-    """Weights before each date's returns: exponentiated gradient, passive-aggressive or moving-average reversion."""
-    few = df.join(F.broadcast(entities), panel.entity, "left_semi").select(panel.entity, panel.time, r).withColumn("__all", F.lit(0))
+def online_portfolio(df: DataFrame, r: str, entities: DataFrame | None = None, method: str = "eg", eta: float = 0.05, window: int = 5, epsilon: float | None = None, panel: Panel = PANEL) -> DataFrame:
+    """Weights before each date's returns: exponentiated gradient, passive-aggressive or moving-average reversion.
+
+    Over all entities unless some are given. One task walks over the dates, as a step needs every weight of the one before.
+    """
+    few = df if entities is None else df.join(F.broadcast(entities), panel.entity, "left_semi")
+    few = few.select(panel.entity, panel.time, r).withColumn("__all", F.lit(0))
     table = matrix(df, r, panel)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,7 +141,7 @@ def online_portfolio(df: DataFrame, r: str, entities: DataFrame, method: str = "
                 loss, sign = max(0.0, (10.0 if epsilon is None else epsilon) - w @ signal), 1
             off = signal - signal.mean()
             w = _simplex(w + sign * loss / max(off @ off, 1e-12) * off)
-        return pd.DataFrame(out, index=m.index, columns=m.columns).stack().rename("weight").reset_index()[[panel.time, panel.entity, "weight"]]
+        return pd.DataFrame({panel.time: np.repeat(m.index.to_numpy(), len(m.columns)), panel.entity: np.tile(m.columns.to_numpy(), len(m)), "weight": out.ravel()})
 
     kinds = dict(df.dtypes)
     return few.groupBy("__all").applyInPandas(walk, f"{panel.time} {kinds[panel.time]}, {panel.entity} {kinds[panel.entity]}, weight double")

@@ -141,30 +141,30 @@ def bootstrap_interval(df: DataFrame, x: str, time: str, by: str, block: float =
 
 
 def reality_check(df: DataFrame, x: str, time: str, trial: str, block: float = 5.0, replicates: int = 499, seed: int = 0) -> DataFrame:
-    """White's reality check and Hansen's studentised version over trials, from one matrix of dates by trials.
+    """White's reality check and Hansen's studentised version over all trials; a missing return counts as 0.
 
-    Trials are strategies, stated by the caller; the matrix is resampled by replicates in parallel tasks that each hold it.
+    All trials are resampled alike, so a replicate is how often it draws each date: blocks of trials multiply by these
+    counts in parallel and the greatest of all blocks is taken. Only the calendar and the counts are on the driver.
     """
-    trials = sorted(r[0] for r in df.select(trial).distinct().collect())
-    table = df.groupBy(time).pivot(trial, trials).agg(F.avg(x)).na.fill(0.0)
-    values = table.orderBy(time).toPandas().drop(columns=[time]).to_numpy()
-    held = df.sparkSession.sparkContext.broadcast(values)
-
-    def one(batches):
-        v = held.value
-        n, mean, sd = len(v), v.mean(0), v.std(0) + 1e-12
+    dates = sorted(r[0] for r in df.select(time).distinct().collect())
+    n, parts = len(dates), -(-df.select(trial).distinct().count() // 256)
+    drawn = np.array([np.bincount(stationary_indices(n, block, np.random.default_rng([seed, r])), minlength=n) for r in range(replicates)], np.float64)
+    held = df.sparkSession.sparkContext.broadcast((pd.Index(dates), drawn))
+
+    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        index, counts = held.value
+        code, names = pd.factorize(pdf[trial])
+        v = np.zeros((n, len(names)))
+        v[index.get_indexer(pdf[time]), code] = pdf["__x"].fillna(0.0)
+        mean, sd, b = v.mean(0), v.std(0) + 1e-12, counts @ v / n
         centre = np.where(math.sqrt(n) * mean / sd >= -math.sqrt(2 * math.log(math.log(max(n, 3)))), mean, 0.0)
-        for batch in batches:
-            rows = []
-            for r in batch["id"]:
-                b = v[stationary_indices(n, block, np.random.default_rng([seed, int(r)]))].mean(0)
-                rows.append((int(r), math.sqrt(n) * float((b - mean).max()), math.sqrt(n) * float(((b - centre) / sd).max())))
-            yield pd.DataFrame(rows, columns=["r", "white", "hansen"])
-
-    n, mean, sd = len(values), values.mean(0), values.std(0) + 1e-12
-    white, hansen = math.sqrt(n) * float(mean.max()), math.sqrt(n) * max(float((mean / sd).max()), 0.0)
-    draws = df.sparkSession.range(replicates).mapInPandas(one, "r long, white double, hansen double")
-    return draws.agg(F.avg((F.col("white") >= white).cast("double")).alias("white_p"), F.avg((F.col("hansen") >= hansen).cast("double")).alias("hansen_p"), F.count(F.lit(1)).alias("replicates"))
+        found = {"white": (b - mean).max(1), "hansen": ((b - centre) / sd).max(1), "white_of": mean.max(), "hansen_of": (mean / sd).max()}
+        return pd.DataFrame({"r": np.arange(replicates)} | {k: math.sqrt(n) * m for k, m in found.items()})
+
+    cells = df.groupBy(time, trial).agg(F.avg(x).cast("double").alias("__x")).withColumn("__part", F.pmod(F.xxhash64(trial), F.lit(max(parts, 1))))
+    most = cells.groupBy("__part").applyInPandas(resampled, "r long, white double, hansen double, white_of double, hansen_of double").groupBy("r").agg(*(F.max(c).alias(c) for c in ("white", "hansen", "white_of", "hansen_of")))
+    share = lambda c: F.avg(c.cast("double"))
+    return most.agg(share(F.col("white") >= F.col("white_of")).alias("white_p"), share(F.col("hansen") >= F.greatest("hansen_of", F.lit(0.0))).alias("hansen_p"), F.count(F.lit(1)).alias("replicates"))
 
 
 def unit_losses(df: DataFrame, loss: str, time: str, expert: str) -> DataFrame:

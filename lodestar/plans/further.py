@@ -70,17 +70,17 @@ def signal_refresh(spark, sf_dir):
 
 @query("turbulence")
 def turbulence(spark, sf_dir):
-    return tidy(G.turbulence(panel_frame(spark, sf_dir), "r", _few(spark, sf_dir)))
+    return tidy(G.turbulence(panel_frame(spark, sf_dir), "r"))
 
 
 @query("residual_momentum")
 def residual_momentum(spark, sf_dir):
-    df = panel_frame(spark, sf_dir).withColumn("mk", F.avg("r").over(PANEL.section)).join(F.broadcast(_few(spark, sf_dir)), "entity", "left_semi")
+    df = panel_frame(spark, sf_dir).withColumn("mk", F.avg("r").over(PANEL.section))
     return tidy(G.rolling_regression(df, "r", ["mk", "spread"], 126))
 
 
 def _online(method: str):
-    return lambda spark, sf_dir: tidy(G.online_portfolio(panel_frame(spark, sf_dir), "r", _few(spark, sf_dir), method))
+    return lambda spark, sf_dir: tidy(G.online_portfolio(panel_frame(spark, sf_dir), "r", method=method))
 
 
 def _optimal(method: str):

@@ -102,7 +102,7 @@ def bootstrap_interval(spark, sf_dir):
 
 @query("reality_check")
 def reality_check(spark, sf_dir):
-    return tidy(Z.reality_check(panel_frame(spark, sf_dir).where("entity <= 20"), "r", "dt", "entity"))
+    return tidy(Z.reality_check(panel_frame(spark, sf_dir), "r", "dt", "entity"))
 
 
 _X = "x AS (SELECT event_type AS expert, CAST(ts AS DATE) AS dt, ROUND(AVG(value), 6) AS loss FROM events GROUP BY 1, 2)"

@@ -184,3 +184,39 @@ def test_past_percentile(spark):
     df = spark.createDataFrame([(0, day(i), v) for i, v in enumerate(values)], "entity int, dt date, x double")
     got = sequential.past_percentile(df, "x").toPandas().sort_values("dt").percentile.tolist()
     np.testing.assert_allclose(got, [np.nan, 0.0, np.nan, 1.0, 1 / 3], equal_nan=True)
+
+
+def test_turbulence_by_blocks_over_all_entities(spark):
+    from lodestar.operators import sequential
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 0.02, (150, 15))
+    v[:, 14] *= 5
+    v[rng.random(v.shape) < 0.02] = np.nan
+    v[rng.random(150) < 0.5, 13] = np.nan
+    v[0] = np.nan
+    df = spark.createDataFrame([(e, day(t), None if np.isnan(v[t, e]) else float(v[t, e])) for t in range(150) for e in range(15)], "entity int, dt date, r double")
+    got = sequential.turbulence(df, "r", window=70, least=30, block=16).toPandas().sort_values("dt")
+    m, expected = v[1:], []  # the first date has no value
+    for t in range(149):
+        past = m[max(0, t - 70) : t]
+        use = np.isfinite(m[t]) & (np.isfinite(past).mean(0) > 0.9) if t >= 30 else np.zeros(15, bool)
+        past = past[:, use][np.isfinite(past[:, use]).all(1)]
+        d = m[t, use] - past.mean(0) if use.any() else None
+        expected.append(d @ np.linalg.pinv(np.atleast_2d(np.cov(past.T))) @ d / use.sum() if use.any() and len(past) > max(15, use.sum() + 1) else np.nan)
+    assert got.dt.tolist() == [day(t) for t in range(1, 150)] and np.isfinite(expected).sum() > 100
+    np.testing.assert_allclose(got.turbulence.to_numpy(float), expected, rtol=1e-8)
+
+
+def test_reality_check_over_blocks_of_trials(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 0.02, (40, 300))
+    v[:, 299] += 0.006
+    df = spark.createDataFrame([(e, day(t), float(v[t, e])) for t in range(40) for e in range(300) if (t + e) % 7], "entity int, dt date, r double")
+    v[(np.arange(40)[:, None] + np.arange(300)) % 7 == 0] = 0.0
+    mean, sd = v.mean(0), v.std(0) + 1e-12
+    centre = np.where(np.sqrt(40) * mean / sd >= -np.sqrt(2 * np.log(np.log(40))), mean, 0.0)
+    boot = [v[statistics.stationary_indices(40, 5.0, np.random.default_rng([0, r]))].mean(0) for r in range(99)]
+    white, hansen = np.mean([(b - mean).max() >= mean.max() for b in boot]), np.mean([((b - centre) / sd).max() >= max((mean / sd).max(), 0.0) for b in boot])
+    got = statistics.reality_check(df, "r", "dt", "entity", replicates=99).first()
+    assert (round(got.white_p, 9), round(got.hansen_p, 9), got.replicates) == (round(float(white), 9), round(float(hansen), 9), 99)

@@ -57,3 +57,9 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["dt", "pnl", "names"]
+
+
+@pytest.mark.parametrize("name", ["online_eg", "online_pamr", "online_olmar", "residual_momentum"])
+def test_covers_every_supplier(spark, name):
+    large = SMALL.replace("sf0.001", "sf0.01")
+    assert registry.queries()[name](spark, large).select("entity").distinct().count() == spark.read.parquet(f"{large}/supplier.parquet").count()
