@@ -1,5 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
+A passage is judged by the alignment of the whole item, so that an edit near an item's end counts as one.
+
 A copy of a test item of L words with at most e = floor((1 - similarity) * L) edited words keeps all but n * e of the
 item's n-grams. So any choice of n * e + t of them keeps t at least, and the rarest are chosen: those whose words
 have the least product of frequencies in the whole corpus. That is measured word by word, so that a passage that
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -97,44 +100,58 @@ def align(item: np.ndarray, window: np.ndarray) -> np.ndarray:
     return h
 
 
-def trace(h: np.ndarray, item: np.ndarray, window: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
-    """From cell (i, j) back: matches, columns, and where item and window begin."""
-    matches = columns = 0
-    while i and j and h[i, j] > 0:
-        same = item[i - 1] == window[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (1 if same else -1):
+def fit(item: np.ndarray, window: np.ndarray, gain: int, cost: int) -> np.ndarray:
+    """Scores of the whole item against a passage that begins anywhere: match ``gain``, any other column ``-cost``."""
+    g = np.zeros((len(item) + 1, len(window) + 1), np.int64)
+    step = np.arange(len(window) + 1, dtype=np.int64) * cost
+    for i, w in enumerate(item):
+        row = g[i] - cost
+        row[1:] = np.maximum(row[1:], g[i, :-1] + np.where(window == w, gain, -cost))
+        g[i + 1] = np.maximum.accumulate(row + step) - step
+    return g
+
+
+def trace(g: np.ndarray, item: np.ndarray, window: np.ndarray, j: int, gain: int, cost: int) -> tuple[int, int, int]:
+    """From the item's end at place j of the window back: matches, columns, and where the passage begins."""
+    matches, columns, i = 0, 0, len(item)
+    while i:
+        same = j > 0 and item[i - 1] == window[j - 1]
+        if j and g[i, j] == g[i - 1, j - 1] + (gain if same else -cost):
             matches, i, j = matches + same, i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - 1:
+        elif g[i, j] == g[i - 1, j] - cost:
             i -= 1
         else:
             j -= 1
         columns += 1
-    return int(matches), columns, i, j
+    return int(matches), columns, j
 
 
 def copies(item: np.ndarray, window: np.ndarray, similarity: float) -> list[tuple[float, int, int, int]]:
     """``(similarity, score, start, end)`` of passages of ``window`` that copy the item, disjoint, best first.
 
-    Similarity: matching words by columns of the alignment and item words left outside it.
+    Similarity: matching words by columns of an alignment of the whole item, edited words at its ends included. With
+    m matches in c columns, m / c >= s just where m (1 - s) - (c - m) s >= 0, so the best sum of these decides exactly.
+    Smith-Waterman, which trims edited ends, scores the passage and first rules windows out.
     """
+    ratio = Fraction(similarity).limit_denominator(10_000)
+    gain, cost = ratio.denominator - ratio.numerator, ratio.numerator
     out: list[tuple[float, int, int, int]] = []
     todo, size = [(0, len(window))], len(item)
     while todo:
         low, high = todo.pop()
         if high - low < size * similarity - 1e-9:
             continue
-        h = align(item, window[low:high])
-        best = int(h.max())
-        # 2 m - c with m >= s (c + u) and c >= L - u is (2 s - 1) L at least
-        if best < max(1, (2 * similarity - 1) * size - 1e-9):
+        part = window[low:high]
+        # 2 m - c with m >= s c and c >= L is (2 s - 1) L at least
+        if align(item, part).max() < max(1, (2 * similarity - 1) * size - 1e-9):
+            continue
+        g = fit(item, part, gain, cost)
+        j = high - low - int(g[-1, ::-1].argmax())  # of equal ones the last: an edited last word is in the passage
+        if g[-1, j] < 0:
             continue
-        i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape))
-        matches, columns, at, start = trace(h, item, window[low:high], i, j)
-        is_copy = matches / (columns + size - (i - at)) >= similarity - 1e-9
-        if is_copy:
-            out.append((matches / (columns + size - (i - at)), best, low + start, low + j))
-        if is_copy or j - start < high - low:
-            todo += [(low, low + start), (low + j, high)]
+        matches, columns, start = trace(g, item, part, j, gain, cost)
+        out.append((matches / columns, int(align(item, part[start:j]).max()), low + start, low + j))
+        todo += [(low, low + start), (low + j, high)]
     return sorted(out, key=lambda c: (-c[0], c[2]))
 
 

@@ -177,6 +177,37 @@ def test_finds_every_edited_copy(spark):
     assert decontaminate.clean(docs(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def most_similar(item, text):
+    """The greatest matches / columns of an alignment of the whole item with a passage, from all (matches, columns)."""
+    cells = [{(0, 0)} for _ in range(len(text) + 1)]
+    for w in item:
+        row = [{(m, c + 1) for m, c in cells[0]}]
+        for j, x in enumerate(text):
+            row.append({(m + (w == x), c + 1) for m, c in cells[j]} | {(m, c + 1) for m, c in cells[j + 1]} | {(m, c + 1) for m, c in row[j]})
+        cells = row
+    return max(m / c for cell in cells for m, c in cell)
+
+
+def test_edits_near_the_ends_of_an_item():
+    rng = random.Random(6)
+    for size in (5, 10, 15, 20, 50):
+        item = np.arange(1, size + 1)
+        for spots in ([1], [size - 2], [0, size - 1], [1, size - 2], [0, 2, size - 2], [1, 3, size - 4, size - 2]):
+            if len(spots) > size // 5:
+                continue
+            copy = item.copy()
+            copy[spots] = 0
+            window = np.concatenate([np.zeros(7, int), copy, np.zeros(7, int)])
+            (similarity, score, start, end), = decontaminate.copies(item, window, 0.8)
+            assert similarity == (size - len(spots)) / size and (start, end) == (7, 7 + size) and score <= size - len(spots)
+    for _ in range(300):
+        item = np.array([rng.randrange(1, 9) for _ in range(rng.randrange(4, 9))])
+        copy = [x for w in item for x in rng.choice([[w]] * 8 + [[], [0], [w, 0]])]
+        window = np.array([0] * rng.randrange(3) + copy + [rng.randrange(9) for _ in range(rng.randrange(3))])
+        best, found = most_similar(item.tolist(), window.tolist()), decontaminate.copies(item, window, 0.8)
+        assert bool(found) == (best >= 0.8 - 1e-9), (item, window, best)
+
+
 # secrets
 
 
