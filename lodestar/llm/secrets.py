@@ -28,8 +28,8 @@ STRONG = {
 WEAK = {
     "account": (r"""((?i:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.@-]+)""", 2, 3, ("=", ":")),
     "endpoint": (r"""((?i:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?))([A-Za-z0-9][A-Za-z0-9.:_-]+)""", 2, 4, ("=", ":")),
-    # 20 or more of the base-64 alphabet with a capital, a small letter and a digit
-    "opaque": (r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2})", 1, 20, ()),
+    # 20 or more of the base-64 alphabet with a capital, a small letter and a digit; "=" may stand before it and pads it
+    "opaque": (r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2})", 1, 20, ()),
 }
 KINDS = [*STRONG, *WEAK]
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
