@@ -2,11 +2,12 @@
 
 A passage is judged by the alignment of the whole item, so that an edit near an item's end counts as one.
 
-A copy of a test item of L words with at most e = floor((1 - similarity) * L) edited words keeps all but n * e of the
-item's n-grams. So any choice of n * e + t of them keeps t at least, and the rarest are chosen: those whose words
-have the least product of frequencies in the whole corpus. That is measured word by word, so that a passage that
-leaked into many documents stays rare. With seeds of three words the bound holds for items of any length; with five
-it would say nothing for edits spread over a short item.
+A copy of a test item of L words with a words substituted or left out and b put in has the similarity
+(L - a) / (L + b) at most and keeps all but n * a + (n - 1) * b of the item's n-grams. With l the most of these at the
+threshold, any choice of l + t n-grams keeps t at least, and the rarest are chosen: those whose words have the least
+product of frequencies in the whole corpus. That is measured word by word, so that a passage that leaked into many
+documents stays rare. Seeds have three words, or fewer for an item so short that all its 3-grams can be lost (at 0.8,
+those of four or five words).
 
 Texts stay where they are: test items are joined to them by hash lookups, in blocks of bounded size, without a
 shuffle. Words are compared in lower case, without punctuation at their ends.
@@ -52,13 +53,13 @@ class Index:
     words: np.ndarray  # sorted hashes; codes are places in it, from 1
     ids: np.ndarray
     items: list[np.ndarray]
-    edits: np.ndarray
+    edits: np.ndarray  # most words that can be put into a copy
     hits: np.ndarray  # least number of different seeds of an item that meet in a copy
     seeds: np.ndarray  # sorted codes
     first: np.ndarray  # of a seed's places
     item_of: np.ndarray
     place_of: np.ndarray
-    n: int
+    sizes: list[int]  # words of seeds
 
 
 def _codes(v: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -68,24 +69,36 @@ def _codes(v: np.ndarray, n: int, base: int) -> np.ndarray:
     return out
 
 
+def _lost(size: int, n: int, similarity: float) -> int:
+    """The most n-grams of an item that a copy at the similarity can lack."""
+    most = 0
+    for a in range(int((1 - similarity) * size + 1e-9) + 1):
+        b = int((size - a) / similarity - size + 1e-9)
+        most = max(most, n * a + (n - 1) * b)
+    return most
+
+
 def build(ids: list[int], items: list[np.ndarray], words: np.ndarray, counts: np.ndarray, similarity: float = 0.8, n: int = 3, spare: int = 3) -> Index:
     """Indexes items of at least ``n`` words, given as hashes; ``counts``: of the sorted ``words`` in the corpus."""
     rarity = np.concatenate([[0.0], np.log1p(counts)])
     base = len(words) + 1
     coded = [np.searchsorted(words, h) + 1 for h in items]
-    edits = np.array([int((1 - similarity) * len(c) + 1e-9) for c in coded], np.int64)
-    least, found = [], []
-    for k, (c, e) in enumerate(zip(coded, edits, strict=True)):
-        grams = _codes(c, n, base)
-        weight = sum(rarity[c[j : len(c) - n + 1 + j]] for j in range(n))
-        chosen = np.argsort(weight, kind="stable")[: n * e + spare]
-        survive = len(chosen) - n * e
+    edits = np.array([int(len(c) / similarity - len(c) + 1e-9) for c in coded], np.int64)
+    least, found, sizes = [], [], set()
+    for k, c in enumerate(coded):
+        # codes of seeds of different sizes differ, as no word has code 0
+        m = next((m for m in range(n, 0, -1) if _lost(len(c), m, similarity) < len(c) - m + 1), 1)
+        sizes.add(m)
+        grams, lost = _codes(c, m, base), _lost(len(c), m, similarity)
+        weight = sum(rarity[c[j : len(c) - m + 1 + j]] for j in range(m))
+        chosen = np.argsort(weight, kind="stable")[: lost + spare]
+        survive = len(chosen) - lost
         least.append(max(1, survive - (len(grams) - len(np.unique(grams)))))
         found += [(int(grams[q]), k, int(q)) for q in chosen]
     found.sort()
     code = np.array([f[0] for f in found], np.int64)
     seeds, first = np.unique(code, return_index=True) if len(code) else (code, code)
-    return Index(words, np.array(ids, np.int64), coded, edits, np.array(least, np.int64), seeds, np.append(first, len(code)), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), n)
+    return Index(words, np.array(ids, np.int64), coded, edits, np.array(least, np.int64), seeds, np.append(first, len(code)), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), sorted(sizes))
 
 
 def align(item: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -168,18 +181,25 @@ def known(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def find(index: Index, texts: pa.Array, similarity: float) -> list[tuple[int, int, float, int, int, int]]:
     """``(row, item, similarity, score, start, end)`` for the copies in some texts; places are in words."""
-    n, base = index.n, len(index.words) + 1
+    base = len(index.words) + 1
     words, hashes = tokens(texts)
     v = known(index.words, hashes)
-    if len(v) < n or not len(index.seeds):
+    if not len(index.seeds):
         return []
-    whole_gram = words.row[n - 1 :] == words.row[: len(v) - n + 1]
-    for k in range(n):
-        whole_gram &= v[k : len(v) - n + 1 + k] > 0
-    at = np.flatnonzero(whole_gram)
-    code = np.zeros(len(at), np.int64)
-    for k in range(n):
-        code = code * base + v[at + k]
+    placed, coded = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in index.sizes:
+        if len(v) < n:
+            continue
+        whole_gram = words.row[n - 1 :] == words.row[: len(v) - n + 1]
+        for k in range(n):
+            whole_gram &= v[k : len(v) - n + 1 + k] > 0
+        at = np.flatnonzero(whole_gram)
+        code = np.zeros(len(at), np.int64)
+        for k in range(n):
+            code = code * base + v[at + k]
+        placed.append(at)
+        coded.append(code)
+    at, code = np.concatenate(placed), np.concatenate(coded)
     slot = np.minimum(np.searchsorted(index.seeds, code), len(index.seeds) - 1)
     met = index.seeds[slot] == code
     at, slot = at[met], slot[met]

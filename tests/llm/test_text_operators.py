@@ -177,6 +177,27 @@ def test_finds_every_edited_copy(spark):
     assert decontaminate.clean(docs(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def test_finds_copies_with_words_put_in(spark):
+    rng = random.Random(8)
+    items = [[f"w{n}x{k}" for k in range(n)] for n in range(3, 25)]
+    texts = [items[6][:3] + ["zz"] + items[6][4:6] + ["yy"] + items[6][6:], items[2][:2] + ["zz"] + items[2][3:], items[1][:2] + ["zz"] + items[1][2:]]
+    planted = {(0, 6), (1, 2), (2, 1)}  # 9 words: one changed, one put in; 5: the middle one changed; 4: one put in
+    for k, item in enumerate(items):
+        for _ in range(20):
+            a = rng.randrange(len(item) // 5 + 1)
+            b = rng.randrange(int((len(item) - a) / 0.8 - len(item) + 1e-9) + 1)
+            copy = list(item)
+            for q in rng.sample(range(len(item)), a):
+                copy[q] = "zz"
+            for q in sorted(rng.sample(range(1, len(item)), b), reverse=True):
+                copy.insert(q, "yy")
+            planted.add((len(texts), k))
+            texts.append(["vv"] * rng.randrange(3) + copy + ["vv"] * rng.randrange(3))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [" ".join(t) for t in texts]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == planted
+
+
 def most_similar(item, text):
     """The greatest matches / columns of an alignment of the whole item with a passage, from all (matches, columns)."""
     cells = [{(0, 0)} for _ in range(len(text) + 1)]
