@@ -1,4 +1,4 @@
-"""What several text operators share: words of Arrow batches, fresh column names, broadcast values."""
+"""What several text operators share: words of Arrow batches, fresh column names, small tables, broadcast values."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words: runs of anything but ASCII blanks. Python, Java and DuckDB read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts are taken from a batch in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+#: Texts are taken from a batch in slices of about so many bytes, and hashed in such stretches, which bounds a worker's memory.
+SLICE_BYTES = 1 << 18
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -37,7 +39,8 @@ def whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array of strings without nulls and with 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    return pc.fill_null(column, "") if column.null_count else column
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -58,9 +61,12 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base of the rolling hash and of its inverse, modulo 2 to the 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, _INVERSE)]
+    """Powers of the base of the rolling hash and of its inverse, modulo 2 to the 64; those of a usual stretch are kept."""
+    make = lambda size: [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (_BASE, _INVERSE)]
+    if n > SLICE_BYTES:
+        return make(n)
+    if not _POWERS:
+        _POWERS[:] = make(SLICE_BYTES)
     return _POWERS
 
 
@@ -103,12 +109,19 @@ class Words:
         self.row = np.repeat(np.arange(n), self.counts)
 
     def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of the bytes between some places."""
+        """A 64-bit hash of each word, or of the bytes between some ascending places."""
         starts, ends = self.starts if starts is None else starts, self.ends if ends is None else ends
-        power, inverse = _powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        out, at = np.zeros(len(starts), np.uint64), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, side="right")))
+            low, high = int(starts[at]), int(ends[to - 1])
+            power, inverse = _powers(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
+            s, e = starts[at:to] - low, ends[at:to] - low
+            out[at:to] = mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+            at = to
+        return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """The sum of a value of each word, by text."""
@@ -122,3 +135,10 @@ class Words:
 def share(df: DataFrame, value: object):
     """A broadcast variable of the session of ``df``; callers state the bound of its size."""
     return df.sparkSession.sparkContext.broadcast(value)
+
+
+def small(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table of a few rows from the driver, by Arrow: no Python worker is needed to read it. Callers state its bound."""
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))

@@ -3,6 +3,9 @@
 Two generative models over hashed word n-grams are fitted, one to target texts (labelled good) and one to all raw
 texts. A document's weight is the ratio of its probabilities under them; documents are drawn without replacement
 in proportion to their weights by the Gumbel top-k trick: the k largest of log weight + Gumbel noise.
+
+N-grams of a text depend on each other, so the plain product of their ratios would let length decide. A text counts as
+COUNTED independent n-grams at most: its log weight is the mean log ratio times its number of n-grams or that bound.
 """
 
 from __future__ import annotations
@@ -12,21 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Words, fresh, mixed, share, slices, whole
+from lodestar.llm.common import Words, fresh, mixed, share, slices, small, whole
 from lodestar.session import cut
 
 #: Bits of a bucket of the hashed n-grams.
 BITS = 16
-#: Log weights are divided by this before noise is added: at 0.001, noise decides between weights within about 0.1 %.
-TEMPERATURE = 0.001
+#: Independent n-grams that a text counts as, at most.
+COUNTED = 64
+#: Occurrences that are added to each bucket of the raw model, and in proportion to the target model, which draws the
+#: ratios of rare n-grams to 1.
+SMOOTHING = 1.0
 #: Share of the labelled rows that calibrate how much to keep rather than fit the target model.
 HELD_OUT = 0.25
-#: Share of held-out good rows that may fall below the last one kept.
+#: The number to draw is that of the documents whose weight all but this share of held-out good rows reach.
 LOSE = 0.001
 #: Labelled rows from which the target model and the share to keep are taken, at most.
 MAX_LABELLED = 200_000
@@ -42,14 +47,18 @@ def _buckets(words: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratios by bucket; held-out labelled doc_ids and whether each is good."""
+    """Log ratios by bucket; hashes of the doc_ids of held-out good rows."""
 
     ratios: np.ndarray
-    held_ids: np.ndarray
-    held_good: np.ndarray
+    held: np.ndarray
+
 
+def _hash(doc_id: Column) -> Column:
+    """A long for a doc_id of any type; null for null."""
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("string")))
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int = MAX_LABELLED, smoothing: float = 1.0, text: str = "text", doc_id: str = "doc_id") -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int = MAX_LABELLED, smoothing: float = SMOOTHING, text: str = "text", doc_id: str = "doc_id") -> Model:
     """Fits both models in one pass over ``docs``.
 
     The raw model counts every document. The target model counts the good ones of at most about ``max_labelled``
@@ -58,22 +67,21 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
     repeated ones count once. Without good labels the ratios are zero and everything is kept.
     """
     buckets = 1 << bits
-    rated = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
+    rated = labels.select(_hash(F.col("doc_id")).alias("id"), "quality").where("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     n = rated.count()
     if n > max_labelled:
-        rated = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled * 0.98 / n))
-    picked = [(r[0], r[1]) for r in rated.select("doc_id", "quality").collect()]
-    held = [(d, q > 0) for d, q in picked if xxhash.xxh64_intdigest(str(d), 1) < HELD_OUT * 2**64]
-    held_ids, held_good = np.array([d for d, _ in held], np.int64), np.array([q for _, q in held], bool)
-    good = np.setdiff1d(np.array([d for d, q in picked if q > 0], np.int64), held_ids)
-    ids = share(docs, good)
+        rated = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled * 0.98 / n))
+    rated = rated.where("quality > 0").select("id", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(HELD_OUT * (1 << 30))).alias("held")).toArrow()
+    ids, held = rated["id"].to_numpy(), rated["held"].to_numpy()
+    good = share(docs, np.sort(ids[~held]))
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, buckets), np.int64)
         for batch in batches:
             texts = whole(batch.column(1))
-            here = pa.array(batch.column(0)).fill_null(-1).to_numpy(zero_copy_only=False)
-            target = np.isin(here, ids.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            here = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            place = np.minimum(np.searchsorted(good.value, here), max(len(good.value) - 1, 0))
+            target = (good.value[place] == here if len(good.value) else np.zeros(len(here), bool)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for at, part in slices(texts):
                 bucket, row = _buckets(Words(part), bits)
                 seen[0] += np.bincount(bucket, minlength=buckets)
@@ -82,28 +90,33 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
             used = np.flatnonzero(seen[kind])
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(used), kind, np.int32)), "bucket": pa.array(used), "n": pa.array(seen[kind][used])})
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(_hash(F.col(doc_id)).alias("id"), F.col(text).cast("string").alias("text"))
     total = np.zeros((2, buckets))
-    for kind, bucket, count in slim.mapInArrow(counts, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n")).collect():
-        total[kind, bucket] = count
-    ids.unpersist()
+    found = slim.mapInArrow(counts, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    total[found["kind"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
+    good.unpersist()
     if not total[1].sum():
-        return Model(np.zeros(buckets), held_ids, held_good)
-    share_of = (total + smoothing) / (total + smoothing).sum(1, keepdims=True)
-    return Model(np.log(share_of[1] / share_of[0]), held_ids, held_good)
+        return Model(np.zeros(buckets), ids[held])
+    share_of_target = total[1].sum() / total[0].sum()
+    return Model(np.log((total[1] + smoothing * share_of_target) / (total[0] + smoothing) / share_of_target), ids[held])
+
+
+def log_weights(texts: pa.Array, ratios: np.ndarray, counted: int = COUNTED) -> np.ndarray:
+    """The log weight of each of some texts; 0 for one without words."""
+    out, bits = [np.zeros(0)], (len(ratios) - 1).bit_length()
+    for _, part in slices(texts):
+        bucket, row = _buckets(Words(part), bits)
+        n = np.bincount(row, minlength=len(part))
+        out.append(np.bincount(row, weights=ratios[bucket], minlength=len(part)) * np.minimum(n, counted) / np.maximum(n, 1))
+    return np.concatenate(out)
 
 
 def log_weight(df: DataFrame, model: Model, text: str = "text") -> Column:
-    """The mean log ratio of a text's n-grams; 0 for one without words."""
-    ratios, bits = share(df, model.ratios), (len(model.ratios) - 1).bit_length()
+    ratios = share(df, model.ratios)
 
     @F.arrow_udf(T.DoubleType())
     def weigh(texts: pa.Array) -> pa.Array:
-        out = []
-        for _, part in slices(whole(texts)):
-            bucket, row = _buckets(Words(part), bits)
-            out.append(np.bincount(row, weights=ratios.value[bucket], minlength=len(part)) / np.maximum(np.bincount(row, minlength=len(part)), 1))
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(log_weights(whole(texts), ratios.value))
 
     return weigh(F.col(text).cast("string"))
 
@@ -150,30 +163,33 @@ def number_to_keep(weighed: DataFrame, model: Model, lose: float = LOSE) -> int:
 
     Only the weights of held-out rows come to the driver, whose number ``fit`` bounds. All rows if none of them is good.
     """
-    good = [int(d) for d, g in zip(model.held_ids, model.held_good, strict=True) if g]
-    held = weighed.sparkSession.createDataFrame([(d,) for d in good], "doc_id long")
-    weights = [r[0] for r in weighed.join(F.broadcast(held), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w")).select("w").collect()]
+    held = small(weighed.sparkSession, "id long", [(int(d),) for d in model.held])
+    weights = [r[0] for r in weighed.withColumn("id", _hash(F.col("doc_id"))).join(F.broadcast(held), "id").groupBy("id").agg(F.min("log_weight").alias("w")).select("w").collect()]
     return weighed.where(F.col("log_weight") >= float(np.quantile(weights, lose, method="lower"))).count() if weights else weighed.count()
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 7, temperature: float = TEMPERATURE, text: str = "text", doc_id: str = "doc_id", **options) -> tuple[DataFrame, Model, float]:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 7, text: str = "text", doc_id: str = "doc_id", **options) -> tuple[DataFrame, Model, float]:
     """``(doc_id, log_weight, key, selected)`` for every row, the model, and the smallest selected key.
 
-    ``keep`` of the rows are drawn; by default as many as number_to_keep says. Ties at the last place are all
+    ``keep`` of the rows are drawn; by default the target size is what number_to_keep says. Ties at the last place are all
     selected, so repeated rows are selected or left together. Null text counts as empty. A null doc_id is kept and
     has noise of its own. Other columns play no part. An empty table gives no rows.
     """
     model = fit(docs, labels, text=text, doc_id=doc_id, **options)
     weighed = docs.select(F.col(doc_id).alias("doc_id"), log_weight(docs, model, text).alias("log_weight"))
-    keyed = cut(weighed.withColumn("key", F.col("log_weight") / temperature + gumbel(F.col("doc_id"), seed)))
+    keyed = cut(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     least = kth_largest(keyed, "key", number_to_keep(keyed, model) if keep is None else round(keyed.count() * keep))
     least = float("inf") if least is None else least
     return keyed.withColumn("selected", F.col("key") >= F.lit(least)), model, least
 
 
-def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 7, temperature: float = TEMPERATURE, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The selected rows of ``docs``, columns as they were; they are weighed again in place, without a join."""
-    _, model, least = resample(docs, labels, keep, seed, temperature, text, doc_id, **options)
+def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 7, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The selected rows of ``docs``, columns as they were; they are weighed again in place, without a join.
+
+    Null text counts as empty, a null doc_id has noise of its own, ties at the last place and repeated rows stay together.
+    An empty table gives no rows.
+    """
+    _, model, least = resample(docs, labels, keep, seed, text, doc_id, **options)
     key = fresh(docs, "key")
-    marked = docs.withColumn(key, log_weight(docs, model, text) / temperature + gumbel(F.col(doc_id), seed))
+    marked = docs.withColumn(key, log_weight(docs, model, text) + gumbel(F.col(doc_id), seed))
     return marked.where(F.col(key) >= F.lit(least)).select(*docs.columns)
