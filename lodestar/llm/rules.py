@@ -1,9 +1,11 @@
 """Quality rules by weak supervision.
 
-Each rule votes good (1) or bad (-1) on a document, or abstains (0). Rules are assumed to err independently given the
-unknown quality; expectation-maximisation over the counts of vote patterns estimates each rule's accuracies and the share
-of good documents, and a document is kept if its posterior probability of being good is at least one half. Patterns
-number at most 3 to the number of rules, whatever the corpus; they are all that reaches the driver.
+Each rule votes good (1) or bad (-1) on a document, or abstains (0). Rules are set to be sensitive rather than sure: one
+that fires on a few good documents too is worth having, as its accuracy is estimated. Rules are assumed to err
+independently given the unknown quality; expectation-maximisation over the counts of vote patterns estimates how often
+each rule calls bad and good documents bad and the share of good documents, and a document is kept if its posterior
+probability of being good is at least one half. Patterns number at most 3 to the number of rules, whatever the corpus;
+they are all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Words, mixed, slices, whole
+from lodestar.llm.common import Words, mixed, slices, small, whole
 from lodestar.session import cut
 
-#: Share of good documents that any rule calls bad, at most.
-FALSE_ALARMS = 0.001
+#: What is believed of a rule before any document is seen: how often its votes on bad and on good documents are bad ones,
+#: and the share of good documents. It counts as this share of the corpus, so it only tells which class is which.
+BELIEF, GOOD, WEIGHT = (0.5, 0.05), 0.9, 0.002
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,49 +97,45 @@ RULES = ("length", "symbols", "capitals", "lines", "repeats", "word_length", "va
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     """A row of votes for each text. A text without words gets no votes but that on its length."""
     n = np.maximum(m["n_words"], 1)
-    some, letters = m["n_words"] >= 10, np.maximum(m["upper"] + m["lower"], 1)
+    some, many, letters = m["n_words"] >= 10, m["n_words"] >= 30, np.maximum(m["upper"] + m["lower"], 1)
     sym, rep, var, stu, bare = m["n_symbols"] / n, m["n_repeat_words"] / n, m["n_distinct"] / n, m["n_again"] / n, m["n_bare"] / n
     caps, size, dup = m["upper"] / letters, m["word_chars"] / n, m["n_dup_lines"] / np.maximum(m["n_lines"], 1)
     pairs = [
-        (m["n_words"] < 10, m["n_words"] >= 50),
-        (sym > 0.3, some & (sym < 0.05)),
-        (some & (caps > 0.5), some & (caps < 0.2)),
-        ((m["n_dup_lines"] >= 3) & (dup > 0.3), (m["n_lines"] >= 3) & (dup < 0.05)),
-        (some & (rep > 0.2), some & (rep < 0.05)),
-        (some & ((size < 2.5) | (size > 12)), some & (size > 3) & (size < 9)),
-        ((m["n_words"] >= 50) & (var < 0.15), (m["n_words"] >= 50) & (m["n_words"] < 2000) & (var > 0.3)),
-        (some & (stu > 0.1), some & (stu < 0.03)),
-        (some & (bare > 0.2), some & (bare < 0.05)),
+        (m["n_words"] < 30, m["n_words"] >= 100),
+        (sym > 0.1, some & (sym < 0.02)),
+        (some & (caps > 0.1), some & (caps < 0.04)),
+        ((m["n_dup_lines"] >= 2) & (dup > 0.1), (m["n_lines"] >= 3) & (dup == 0)),
+        (some & (rep > 0.1), some & (rep < 0.02)),
+        (many & ((size < 4.2) | (size > 6.2)), many & (size > 4.5) & (size < 5.8)),
+        ((m["n_words"] >= 50) & (var < 0.5), (m["n_words"] >= 50) & (var > 0.65)),
+        (some & (stu > 0.03), some & (stu < 0.015)),
+        (some & (bare > 0.02), some & (bare < 0.005)),
     ]
     return np.stack([good.astype(np.int8) - bad.astype(np.int8) for bad, good in pairs], axis=1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, prior: float = 0.9) -> tuple[np.ndarray, float, np.ndarray]:
-    """How often each rule votes right on bad and on good documents, the share of good ones, each pattern's posterior.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, weight: float = WEIGHT) -> tuple[np.ndarray, float, np.ndarray]:
+    """How often each rule's votes on bad and on good documents are bad ones, the share of good ones, each pattern's posterior.
 
-    ``patterns``: a row of votes each; an abstention says nothing. A rule has two accuracies, as its bad votes are rare
-    and mostly right while its good votes are common and say little. They start from the share of bad votes in a
-    pattern. A few imagined right votes smooth small corpora. Thresholds are set so that a rule calls few good documents
-    bad; without that bound (FALSE_ALARMS), the estimates would settle on whichever rules fire together most.
+    ``patterns``: a row of votes each; an abstention says nothing. Both rates of each rule are free: whether it rarely
+    or often calls good documents bad is found out. The start takes a pattern without a bad vote for good.
     """
-    n, bad, good = counts.astype(float), patterns < 0, patterns > 0
-    cast = bad | good
-    posterior = np.where(bad.any(1), 0.1, 0.98)
-    right, share_good = np.full((2, patterns.shape[1]), 0.8), prior
+    n, bad, good = counts.astype(float), (patterns < 0).astype(float), (patterns > 0).astype(float)
+    posterior, belief = np.where(bad.any(1), 0.1, 0.95), np.array(BELIEF)[:, None]
+    a = weight * n.sum() + 1e-3
+    calls, share_good = np.repeat(belief, patterns.shape[1], axis=1), GOOD
     for _ in range(rounds):
-        is_bad = n * (1 - posterior)
-        is_good = n * posterior
-        new = np.stack([(is_bad @ bad + 2) / (is_bad @ cast + 10), (is_good @ good + 9.9) / (is_good @ cast + 10)])
-        new[1] = np.clip(new[1], 1 - FALSE_ALARMS, 1 - 1e-6)
-        new[0] = np.clip(new[0], 2 * FALSE_ALARMS, 0.999)  # bad votes are likelier on bad documents
-        share_good = float(np.clip((n @ posterior + 10 * prior) / (n.sum() + 10), 0.02, 0.98))
-        done = np.abs(new - right).max() < 1e-10
-        right = new
+        of = np.stack([1 - posterior, posterior]) * n
+        called, cleared = of @ bad, of @ good
+        calls = (called + a * belief) / (called + cleared + a)
+        share_good = float((of[1].sum() + a * GOOD) / (n.sum() + a))
+        log = bad @ np.log(calls).T + good @ np.log(1 - calls).T + np.log([1 - share_good, share_good])
+        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+        done = np.abs(new - posterior).max(initial=0) < 1e-10
+        posterior = new
         if done:
             break
-        odds = np.log(share_good / (1 - share_good)) + good @ np.log(right[1] / (1 - right[0])) + bad @ np.log((1 - right[1]) / right[0])
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return right, share_good, posterior
+    return calls, share_good, posterior
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -164,5 +163,6 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     code = np.array([r[0] for r in rows], np.int64)
     patterns = code[:, None] // 3 ** np.arange(len(RULES)) % 3 - 1
     posterior = estimate(patterns, np.array([r[1] for r in rows]))[2] if rows else np.zeros(0)
-    table = docs.sparkSession.createDataFrame([(int(c), "".join("-0+"[x + 1] for x in p), float(q)) for c, p, q in zip(code, patterns.tolist(), posterior, strict=True)], "code long, votes string, posterior double")
+    rows = [(int(c), "".join("-0+"[x + 1] for x in p), float(q)) for c, p, q in zip(code, patterns.tolist(), posterior, strict=True)]
+    table = small(docs.sparkSession, "code long, votes string, posterior double", rows)
     return found.join(F.broadcast(table), "code").select("doc_id", *_COUNTS, "votes", "posterior")
