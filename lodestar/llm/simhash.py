@@ -1,9 +1,9 @@
 """Near-duplicate detection by SimHash: fingerprints, a byte-position index with count filtering, components.
 
 Two 64-bit fingerprints that differ in 3 bits at most have at least 5 of their 8 bytes in common, position by
-position. The index has a posting list for each value of a combination of byte positions; the combinations are
-chosen so that any 5 positions contain one of them whole, so no link is missed. Within a list, the positions at
-which two fingerprints agree are tallied; pairs that reach the guaranteed 5 are verified by their differing bits.
+position. The index has a posting list for each value of a block of byte positions. The blocks are chosen so that any 5
+positions contain a guaranteed number of them whole: each pair is tallied once for every list in which it meets, pairs
+that reach the guaranteed number are kept, and their differing bits are verified.
 
 Only distinct fingerprints are indexed: any number of exact copies is one entry, and as a fingerprint has at most
 43,744 others within 3 bits, links grow in proportion to the fingerprints, however large a group of copies is.
@@ -11,6 +11,7 @@ Only distinct fingerprints are indexed: any number of exact copies is one entry,
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -53,46 +54,54 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
     return made(text)
 
 
-def positions(distance: int, width: int) -> list[tuple[int, ...]]:
-    """Combinations of ``width`` byte positions of which any ``BYTES - distance`` positions contain one whole.
+@functools.cache
+def blocks(distance: int = 3, width: int | None = None) -> tuple[list[tuple[int, ...]], int]:
+    """Blocks of byte positions, and how many of them any ``BYTES - distance`` positions contain whole.
 
-    Positions are dealt into as few groups as force one group to hold ``width`` of them; the combinations are
-    those within a group. Three bits and triples: two groups of four, eight triples.
+    By default, for a distance of three, the blocks are two quadruple systems of 14 blocks each in which every three
+    positions are in one block of either, and so any five positions contain just one block of either: two. Elsewhere, or
+    if a width is given, they are all combinations of so many positions.
     """
     kept = BYTES - distance
-    if not 1 <= width <= kept:
-        raise ValueError(f"a combination can have 1 to {kept} positions")
-    groups = next(g for g in range(kept, 0, -1) if -(-kept // g) >= width)
-    dealt = [range(BYTES)[k * BYTES // groups : (k + 1) * BYTES // groups] for k in range(groups)]
-    return [c for g in dealt for c in itertools.combinations(g, width)]
+    if not 0 <= distance < BYTES or width is not None and not 1 <= width <= kept:
+        raise ValueError("the distance must be below the number of bytes, a block no wider than the bytes that are left")
+    if distance == 3 and width is None:
+        flat = [c for c in itertools.combinations(range(BYTES), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+        turned = (sorted(tuple(sorted(p[k] for k in c)) for c in flat) for p in itertools.permutations(range(BYTES)))
+        chosen = flat + next(t for t in turned if not set(t) & set(flat))
+    else:
+        chosen = list(itertools.combinations(range(BYTES), width or max(1, kept - 1)))
+    return chosen, min(sum(set(c) <= set(k) for c in chosen) for k in itertools.combinations(range(BYTES), kept))
 
 
-def width_for(fingerprints: int, distance: int) -> int:
-    """The least number of positions from 3 on with posting lists of about one entry; every width finds every link."""
-    return next((w for w in range(min(3, BYTES - distance), BYTES - distance) if fingerprints <= 4 * 256**w), BYTES - distance)
+def _byte(c: Column, k: int) -> Column:
+    return F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
 
 
-def links(prints: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """``(a, b)`` for each two distinct values of the long column ``fp`` within ``distance`` bits, ``a < b``."""
-    if not 0 <= distance < BYTES:
-        raise ValueError("the distance must be below the number of bytes")
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
-    combined = positions(distance, width)
+def tallies(prints: DataFrame, chosen: list[tuple[int, ...]]) -> DataFrame:
+    """``(a, b, lists)``: in how many posting lists two distinct values of ``fp`` meet, for those that meet, ``a < b``."""
     keys = []
-    for i, combination in enumerate(combined):
+    for i, block in enumerate(chosen):
         key = F.lit(i).cast("long")
-        if width < 7:  # the number of the combination and the bytes fit into a long
-            for k in combination:
-                key = F.shiftleft(key, 8).bitwiseOR(byte(F.col("fp"), k))
+        if len(block) < 7:  # the number of the block and the bytes fit into a long
+            for k in block:
+                key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), k))
         else:
-            key = F.xxhash64(key, *(byte(F.col("fp"), k) for k in combination))
+            key = F.xxhash64(key, *(_byte(F.col("fp"), k) for k in block))
         keys.append(key)
     index = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     left, right = index.select(F.col("fp").alias("a"), "key"), index.select(F.col("fp").alias("b"), F.col("key").alias("_key"))
-    differing = F.col("a").bitwiseXOR(F.col("b"))
-    agreeing = sum((F.when(byte(differing, k) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
-    met = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (agreeing >= BYTES - distance) & (F.bit_count(differing) <= distance)
-    return left.hint("merge").join(right, met).select("a", "b").distinct()
+    met = left.hint("merge").join(right, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+
+
+def links(prints: DataFrame, distance: int = 3, width: int | None = None) -> DataFrame:
+    """``(a, b)`` for each two distinct values of the long column ``fp`` within ``distance`` bits, ``a < b``.
+
+    ``fp`` has no null and no repeated value. Every choice of ``width`` finds every link.
+    """
+    chosen, least = blocks(distance, width)
+    return tallies(prints, chosen).where((F.col("lists") >= least) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
 
 
 def classes(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -101,7 +110,7 @@ def classes(prints: DataFrame, distance: int = 3) -> DataFrame:
     ``component_id`` is null only where every doc_id of the component is null.
     """
     entries = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(entries, distance, width_for(entries.count(), distance)))
+    roots = connected_components(links(entries, distance))
     rooted = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
@@ -121,15 +130,28 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, text:
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest doc_id; columns as they were.
 
-    Among several rows of that doc_id in the component, the one with the smallest SHA-256 of its text stays.
-    A component whose doc_ids are all null keeps one row too.
+    Among several rows of that doc_id in the component, the one with the smallest fingerprint, then SHA-256 of its
+    text stays, and one of those that are equal. A component whose doc_ids are all null keeps one row too. Null text
+    counts as empty. An empty table gives no rows.
+
+    Rows are chosen from doc_ids, fingerprints and digests; texts are fingerprinted once, and only the keys of rows
+    that go are joined to them, which Spark broadcasts while they are few.
     """
-    fp, mine, same, rank = (fresh(docs, x) for x in ("fp", "component_doc", "component_fp", "rank"))
-    marked = docs.withColumn(fp, fingerprint_column(F.col(text), shingle))
-    found = near_duplicates(docs, distance, shingle, text, doc_id)
-    # of a component's rows, those with its doc_id: few, as copies have doc_ids of their own
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
-    best = best.select(F.col("doc_id").alias(mine), F.col("fp").alias(same))
-    kept = marked.join(best, F.col(doc_id).eqNullSafe(F.col(mine)) & (F.col(fp) == F.col(same)), "left_semi")
-    order = Window.partitionBy(doc_id, fp).orderBy(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256))
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    gone, again = fresh(docs, "gone"), fresh(docs, "again")
+    digest = F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)
+    key = F.sha2(F.concat_ws("/", F.col(doc_id).cast("string"), digest).cast("binary"), 256)
+    thin = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp"), digest.alias("digest"), key.alias("key")))
+    found = thin.join(classes(thin, distance), "fp")
+    # for each component, the key of the least row; null doc_ids come last
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "digest", "key")
+    best = cut(found.groupBy("root").agg(F.min(order)["key"].alias("best")))  # so that a large component's rows can be split in the join
+    counted = cut(found.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n")).join(best, "root").select("key", (F.col("key") != F.col("best")).alias("goes"), "n"))
+    out = docs.join(counted.where("goes").select(F.col("key").alias(gone)).distinct(), key == F.col(gone), "left_anti")
+    twice = counted.where("not goes and n > 1").select(F.col("key").alias(gone))
+    if twice.isEmpty():
+        return out
+    # rows that are repeated as a whole: one of each stays
+    few = docs.join(twice, key == F.col(gone), "left_semi").withColumn(again, key)
+    rank = fresh(few, "rank")
+    few = few.withColumn(rank, F.row_number().over(Window.partitionBy(again).orderBy(again))).where(F.col(rank) == 1)
+    return out.join(twice, key == F.col(gone), "left_anti").unionByName(few.select(*docs.columns))
