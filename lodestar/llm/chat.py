@@ -39,11 +39,13 @@ def formatted(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """``(conv_id, formatted, loss)``: one row for each conversation; loss is ``array<struct<start,end>>``.
 
     Turns are sorted by turn, then role and text; a null turn comes first, and null roles and texts count as empty.
-    Rows with a null conv_id form one conversation. Repeated rows are turns of their own. Other columns play no
-    part. An empty table gives no rows.
+    Nothing says that rows with a null conv_id belong together, so each of them is a conversation of its own; they are
+    not gathered, however many they are. Repeated rows are turns of their own. Other columns play no part. An empty
+    table gives no rows.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
+    known, loose = turns.where("conv_id is not null"), turns.where("conv_id is null")
+    sorted_turns = known.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t")).unionByName(loose.select("conv_id", F.array(row).alias("t")))
     role_at = lambda i: F.get(F.col("t"), i)["role"]
 
     def pieces(x: Column, i: Column) -> Column:

@@ -39,7 +39,8 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    two = F.array(*(F.struct(F.lit(-7).alias("conv_id"), F.lit(k).alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for k, r in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.inline(two)).select(*(F.col(f.name).cast(f.dataType) for f in turns.schema))
     found = chat.formatted(turns.unionByName(extra)).select("conv_id", "formatted", "loss", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("learnt"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
