@@ -20,12 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.common import slices
 from lodestar.session import cut, shared_dir
 
 #: Payloads of fewer bytes are written in full even if they repeat.
 MIN_REVISIT = 100
 #: A new file is begun beyond so many bytes; ranges no further apart than GAP are read at once, up to READ bytes.
 FILE, GAP, READ = 256 << 20, 64 << 10, 8 << 20
+#: Digests that occur more than once are broadcast if they are so many at most, some 10 MB.
+FEW = 100_000
+#: Payloads are written and handed on in batches of about so many bytes (one payload at least).
+BATCH = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,6 +78,13 @@ def parse(data: bytes) -> tuple[int | None, str | None, str, int | None, str, by
     return number("x-page-id"), None if url is None else _unquoted(url), kind, number("x-refers-to-page-id"), field["warc-payload-digest"].partition(":")[2], payload
 
 
+_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.dataType]) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+
+
 def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
@@ -85,7 +97,9 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     """
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long = base.where(F.octet_length("payload") >= MIN_REVISIT)
-    again = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    again = cut(long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("d"), "first"))
+    if again.count() <= FEW:  # payloads stay where they are; otherwise they are shuffled by digest
+        again = F.broadcast(again)
     joined = base.join(again, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= MIN_REVISIT), "left")
     revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
@@ -105,20 +119,21 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         store.create_dir(path, recursive=True)
         out, name, at = None, "", 0
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if out is None or at > FILE:
-                    if out is not None:
-                        out.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = store.open_output_stream(f"{path}/{name}", compression=None)
-                squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = squeeze.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["revisit"])) + squeeze.flush()
-                out.write(member)
-                rows.append((name, at, len(member), r["url"], r["digest"], r["page_id"], "revisit" if r["revisit"] else "response"))
-                at += len(member)
-            # index rows of a file that is still open are seen by no one before the task, and so the file, is complete
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=INDEX.names) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in INDEX]))
+            for start, part in slices(batch.column("payload").cast(pa.large_binary()), BATCH):
+                rows = []
+                for r in batch.slice(start, len(part)).to_pylist():
+                    if out is None or at > FILE:
+                        if out is not None:
+                            out.close()
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{path}/{name}", compression=None)
+                    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    member = squeeze.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["revisit"])) + squeeze.flush()
+                    out.write(member)
+                    rows.append((name, at, len(member), r["url"], r["digest"], r["page_id"], "revisit" if r["revisit"] else "response"))
+                    at += len(member)
+                # index rows of a file that is still open are seen by no one before the task, and so the file, is complete
+                yield _batch(rows, INDEX)
         if out is not None:
             out.close()
 
@@ -129,7 +144,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 def read(index: DataFrame, folder: str) -> DataFrame:
     """The records of some index rows: ``(page_id, url, record_type, refers_to, digest, payload)``.
 
-    Every record's digest is held against that of the index; a difference fails the task.
+    Every record's digest is held against that of the index; a difference fails the task. A repeated index row gives
+    its record as often; an empty index gives no rows. Null URLs and page_ids are null. Other columns of ``index`` play
+    no part. Payloads are handed on in batches of bounded size, whatever they were compressed to.
     """
 
     def ranges(rows: list[dict]) -> Iterator[list[dict]]:
@@ -153,14 +170,19 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     opened, source = group[0]["file"], store.open_input_file(f"{path}/{group[0]['file']}")
                 start = group[0]["offset"]
                 data = source.read_at(group[-1]["offset"] + group[-1]["length"] - start, start)
-                found = []
+                found, held = [], 0
                 for r in group:
                     at = r["offset"] - start
                     got = parse(zlib.decompress(data[at : at + r["length"]], 31))
                     if got[4] != r["digest"]:
                         raise ValueError(f"{r['file']} at {r['offset']}: another record than the index says")
                     found.append(got)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=RECORD.names)
+                    held += len(got[5] or b"")
+                    if held > BATCH:
+                        yield _batch(found, RECORD)
+                        found, held = [], 0
+                if found:
+                    yield _batch(found, RECORD)
         if source is not None:
             source.close()
 
