@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Words, share, slices, whole
+from lodestar.llm.common import Words, share, slices, small, whole
 from lodestar.llm.html_text import visible_text
 from lodestar.session import cut
 
@@ -28,6 +28,8 @@ BITS, SIZES = 14, (2, 3)
 TEMPER = 0.3
 #: Pages as many as which the domain's share counts in a host's prior, and the whole's in a domain's.
 SMOOTHING = 5.0
+#: Names below a country's that anyone may register under, so that a host's domain has three parts.
+SECOND = "ac|asso|co|com|edu|go|gob|gouv|gov|gv|info|ltd|me|mil|ne|net|nom|or|org|sch"
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +116,8 @@ def evidence(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     address = F.col(url).cast("string")
     host = F.lower(F.regexp_extract(address, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.when(host != "", host)
-    two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    tag = F.regexp_extract(F.col(html).cast("string"), r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})\b""", 1)
+    two = F.regexp_extract(host, rf"([^.]+\.(?:(?:{SECOND})\.[a-z]{{2}}|[^.]+))$", 1)
+    tag = F.regexp_extract(F.col(html).cast("string"), r"""(?i)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([a-z]{2,3})\b""", 1)
     suffix, segment = F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lower(F.regexp_extract(address, r"(?i)^[^?#]*?//[^/?#]*/([a-z]{2})(?:[/?#-]|$)", 1))
     empty = lambda c: F.when(c != "", c)
     return {"declared": F.lower(empty(tag)), "suffix": empty(suffix), "segment": empty(segment), "host": host, "domain": F.when(F.length(two) > 0, two).otherwise(host)}
@@ -136,28 +138,25 @@ def identify(pages: DataFrame, model: Model, smoothing: float = SMOOTHING, page_
     listed = F.array(*(F.lit(n) for n in names))
     best = lambda c: F.element_at(listed, F.array_position(c, F.array_max(c)).cast("int"))
 
-    # how often each declaration and address goes with the language of the text; at most 27 * 27 values of each
-    def trust(column: str) -> dict[str, list[float]]:
-        rows = found.where(F.col(column).isNotNull() & (F.length(column) == 2)).groupBy(column, best(F.col("text")).alias("l")).count().collect()
+    # how often each declaration and address goes with the language of the text: of up to three letters, so bounded
+    def trust(column: str) -> DataFrame:
         seen: dict[str, np.ndarray] = {}
-        for value, of, n in rows:
+        for value, of, n in found.where(F.col(column).isNotNull()).groupBy(column, best(F.col("text")).alias("l")).count().collect():
             seen.setdefault(value, np.zeros(k))[names.index(of)] += n
         total = sum(seen.values(), np.zeros(k))
-        return {v: np.log((n + 0.5) / (total + 0.5 * (len(seen) + 1))).tolist() for v, n in seen.items()}
+        rows = [(v, np.log((n + 0.5) / (total + 0.5 * (len(seen) + 1))).tolist()) for v, n in sorted(seen.items())]
+        return F.broadcast(small(pages.sparkSession, f"{column} string, {column}_logs array<double>", rows))
 
-    fused = F.col("text")
+    fused, known = F.col("text"), found
     for column in ("declared", "suffix", "segment"):
-        table = trust(column)
-        if table:
-            known = F.create_map(*(x for v, logs in sorted(table.items()) for x in (F.lit(v), F.array(*(F.lit(y) for y in logs)))))
-            extra = F.coalesce(F.try_element_at(known, F.col(column)), F.array_repeat(F.lit(0.0), k))
-            fused = F.zip_with(fused, extra, lambda a, b: a + b)
+        known = known.join(trust(column), column, "left")
+        fused = F.zip_with(fused, F.coalesce(f"{column}_logs", F.array_repeat(F.lit(0.0), k)), lambda a, b: a + b)
 
     def normal(logs: Column) -> Column:
         raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
         return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
-    own = cut(found.select("page_id", "text", "declared", "host", "domain", fused.alias("fused")).withColumn("own", normal(F.col("fused"))))
+    own = cut(known.select("page_id", "text", "declared", "host", "domain", fused.alias("fused")).withColumn("own", normal(F.col("fused"))))
     sums = lambda name: F.array(*(F.sum(F.col("own")[j]) for j in range(k))).alias(name)
     everything = own.agg(sums("s"), F.count("*")).first()
     overall = F.array(*(F.lit(float((x or 0.0) + 1.0) / ((everything[1] or 0) + k)) for x in (everything[0] or [0.0] * k)))
