@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Words, fresh, n_words, share, slices, whole
+from lodestar.llm.common import Words, fresh, n_words, share, slices, small, whole
 
 #: Words of test items in a block, about: an index of a few tens of MB.
 BLOCK_WORDS = 500_000
@@ -79,7 +79,7 @@ def _lost(size: int, n: int, similarity: float) -> int:
 
 
 def build(ids: list[int], items: list[np.ndarray], words: np.ndarray, counts: np.ndarray, similarity: float = 0.8, n: int = 3, spare: int = 3) -> Index:
-    """Indexes items of at least ``n`` words, given as hashes; ``counts``: of the sorted ``words`` in the corpus."""
+    """Indexes items of at least a word, given as hashes; ``counts``: of the sorted ``words`` in the corpus."""
     rarity = np.concatenate([[0.0], np.log1p(counts)])
     base = len(words) + 1
     coded = [np.searchsorted(words, h) + 1 for h in items]
@@ -87,7 +87,7 @@ def build(ids: list[int], items: list[np.ndarray], words: np.ndarray, counts: np
     least, found, sizes = [], [], set()
     for k, c in enumerate(coded):
         # codes of seeds of different sizes differ, as no word has code 0
-        m = next((m for m in range(n, 0, -1) if _lost(len(c), m, similarity) < len(c) - m + 1), 1)
+        m = next((m for m in range(min(n, len(c)), 0, -1) if _lost(len(c), m, similarity) < len(c) - m + 1), 1)
         sizes.add(m)
         grams, lost = _codes(c, m, base), _lost(len(c), m, similarity)
         weight = sum(rarity[c[j : len(c) - m + 1 + j]] for j in range(m))
@@ -255,7 +255,7 @@ def _counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 def blocks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, n: int = 3, block_words: int = BLOCK_WORDS, item_id: str = "item_id", item_text: str = "text") -> Iterator[Index]:
     """Indexes of the test items, each of about ``block_words`` words; only one is on the driver at a time.
 
-    Null items and those of fewer than ``n`` words are left out: nothing so short is evidence of a copy.
+    Null items and those without words are left out. Those of one or two words are found where all their words are.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null").distinct()
     total = items.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
@@ -263,7 +263,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, n: in
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).orderBy("id", "text").collect()
         w, hashes = tokens(whole(pa.array([t for _, t in rows], pa.string())))
-        split = [(i, hashes[a:b]) for (i, _), a, b in zip(rows, w.first, w.first[1:], strict=False) if b - a >= n]
+        split = [(i, hashes[a:b]) for (i, _), a, b in zip(rows, w.first, w.first[1:], strict=False) if b > a]
         if split:
             words = np.unique(np.concatenate([h for _, h in split]))
             yield build([i for i, _ in split], [h for _, h in split], words, _counts(docs, words), similarity, n)
@@ -292,7 +292,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
         found = slim.mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return out if out is not None else small(docs.sparkSession, schema, [])
 
 
 def _holds_copy(docs: DataFrame, index: Index, similarity: float, text: Column) -> Column:
