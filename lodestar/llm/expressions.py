@@ -19,26 +19,36 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
 
 
-def prefix_sums(values: Column) -> Column:
-    """For an array of longs, the sum of the elements before each.
+def _before(values: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For an array of longs, the fold of the elements before each.
 
-    Sums of chunks first, then within each chunk: n * 64 / 2 additions and (n / 64) squared, not n squared.
+    Chunks are folded first, then each element's place within its chunk: n * 64 / 2 steps and (n / 64) squared, not n squared.
     """
 
-    def summed(v: Column) -> Column:
+    def folded(v: Column) -> Column:
         size = F.size(v)
         chunks = F.sequence(F.lit(0), F.floor((size - 1) / _CHUNK).cast("int"))
-        sums = F.transform(chunks, lambda c: total(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
-        before = let(sums, lambda s: F.transform(chunks, lambda c: total(F.slice(s, F.lit(1), c))))
+        parts = F.transform(chunks, lambda c: fold(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
+        before = let(parts, lambda s: F.transform(chunks, lambda c: fold(F.slice(s, F.lit(1), c))))
 
         def within(c: Column, start: Column) -> Column:
             places = F.sequence(F.lit(0), F.least(F.lit(_CHUNK), size - c * _CHUNK) - 1)
-            return let(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)), lambda part: F.transform(places, lambda k: start + total(F.slice(part, F.lit(1), k))))
+            return let(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)), lambda part: F.transform(places, lambda k: join(start, fold(F.slice(part, F.lit(1), k)))))
 
         made = F.flatten(F.transform(before, lambda start, c: within(c, start)))
         return F.when(size > 0, made).otherwise(F.array().cast("array<bigint>"))
 
-    return let(values, summed)
+    return let(values, folded)
+
+
+def prefix_sums(values: Column) -> Column:
+    """For an array of longs, the sum of the elements before each."""
+    return _before(values, total, lambda x, y: x + y)
+
+
+def prefix_greatest(values: Column) -> Column:
+    """For an array of longs of 0 or more, the greatest of the elements before each, 0 for the first."""
+    return _before(values, lambda v: F.coalesce(F.array_max(v), F.lit(0).cast("long")), F.greatest)
 
 
 def matches(text: Column, pattern: str, groups: int = 1, needs: tuple[str, ...] = ()) -> Column:

@@ -58,12 +58,12 @@ def secrets(strong: dict, weak: dict, role: dict, needs: dict, scope: int) -> st
     opaque = """SELECT doc_id, %d AS rank, 'opaque' AS kind, start, stop FROM (SELECT doc_id, pos AS start, pos + LENGTH(piece) AS stop, piece FROM (
  SELECT doc_id, i, piece, CAST(SUM(LENGTH(piece)) OVER (PARTITION BY doc_id ORDER BY i) - LENGTH(piece) AS BIGINT) AS pos FROM (
   SELECT doc_id, UNNEST(pieces) AS piece, GENERATE_SUBSCRIPTS(pieces, 1) AS i FROM (
-   SELECT doc_id, STRING_SPLIT(REGEXP_REPLACE(text, '([A-Za-z0-9+/_=-]+)', CHR(1) || '\\1' || CHR(1), 'g'), CHR(1)) AS pieces FROM d))) WHERE i %% 2 = 0)
+   SELECT doc_id, STRING_SPLIT(REGEXP_REPLACE(text, '([A-Za-z0-9+/_-]+={0,2})', CHR(1) || '\\1' || CHR(1), 'g'), CHR(1)) AS pieces FROM d))) WHERE i %% 2 = 0)
  WHERE REGEXP_MATCHES(piece, '^[A-Za-z0-9+/_-]{20,}={0,2}$') AND REGEXP_MATCHES(piece, '[0-9]') AND REGEXP_MATCHES(piece, '[a-z]') AND REGEXP_MATCHES(piece, '[A-Z]')""" % kinds.index("opaque")
     return f"""WITH {d}, parts AS ({' UNION ALL '.join([*parts, opaque])}),
 r AS (SELECT *, CASE kind {cases} END AS role FROM parts),
 near AS (SELECT w.doc_id, w.rank, w.kind, w.start, w.stop FROM (SELECT * FROM r WHERE rank >= {len(strong)}) w JOIN (SELECT doc_id, start AS o_start, stop AS o_stop, role AS o_role FROM r) o
- ON w.doc_id = o.doc_id AND ABS(w.start - o_start) <= {scope} AND role <> o_role AND (stop <= o_start OR o_stop <= start) GROUP BY w.doc_id, w.rank, w.kind, w.start, w.stop, role HAVING {enough}),
+ ON w.doc_id = o.doc_id AND GREATEST(w.start, o_start) - LEAST(w.stop, o_stop) BETWEEN 0 AND {scope} AND role <> o_role GROUP BY w.doc_id, w.rank, w.kind, w.start, w.stop, role HAVING {enough}),
 a AS (SELECT doc_id, rank, kind, start, stop FROM r WHERE rank < {len(strong)} UNION ALL SELECT * FROM near)
 SELECT d.doc_id, {', '.join(f"COUNT(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in strong)},
  SHA256(COALESCE(STRING_AGG(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(strong)}), '')) AS base_sha256,

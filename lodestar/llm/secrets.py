@@ -2,8 +2,8 @@
 
 Strong patterns (assignments, access identifiers, long hex runs) are reported wherever they stand. Weak parts (account
 names, endpoints, plain tokens) are everyday text on their own; they are reported only where complementary parts
-co-occur: parts of a row are placed in cells of the scope's width, joined by row and neighbouring cell, and kept
-if the interval between them is within the scope. As parts don't overlap within a kind, a cell holds a bounded
+co-occur: the ends of a row's parts are placed in cells of the scope's width, joined by row and neighbouring cell, and
+kept if the interval between the parts is within the scope. As parts don't overlap within a kind, a cell holds a bounded
 number of them, so a row with many parts costs in proportion to their number.
 """
 
@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fresh, text_or_empty
-from lodestar.llm.expressions import matches
+from lodestar.llm.expressions import matches, prefix_greatest
 from lodestar.session import cut
 
-#: Code points between parts that may belong to one credential, at most.
+#: Code points from the end of one part to the start of the other, at most, if they may belong to one credential.
 SCOPE = 200
 _KEY = r"(?i:password|passwd|secret|token|api_?key)"
 #: kind: (pattern, groups, least size of the last group, strings one of which a text needs), in the order in which spans at one place are listed.
@@ -51,11 +51,13 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     """The weak ones of some parts ``(k1, k2, start, rank, end)`` that have their complements within the scope."""
     roles = [*NEEDS]
     role = F.element_at(F.array(*(F.lit(roles.index(ROLE[k])) for k in KINDS)), F.col("rank") + 1)
-    placed = parts.distinct().withColumn("role", role).withColumn("cell", F.floor(F.col("start") / scope))
-    weak = placed.where(F.col("rank") >= len(STRONG))
-    other = placed.select("k1", "k2", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.col("rank").alias("o_rank"), F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"))
-    # a long part may reach into its neighbours' cells: ends count by where the part begins, so the gap is from start to start
-    near = (F.abs(F.col("start") - F.col("o_start")) <= scope) & (F.col("role") != F.col("o_role")) & ((F.col("end") <= F.col("o_start")) | (F.col("o_end") <= F.col("start")))
+    cell = lambda c: F.floor(F.col(c) / scope)
+    placed = parts.distinct().withColumn("role", role)
+    # the gap is from one part's end to the other's start: a part is met where it ends by what begins there or in the next cell
+    weak = placed.where(F.col("rank") >= len(STRONG)).withColumn("cell", F.explode(F.array_distinct(F.array(cell("start"), cell("end")))))
+    other = placed.select("k1", "k2", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.explode(F.array_distinct(F.flatten(F.array(*(F.array(cell("start") + d, cell("end") + d) for d in (-1, 0, 1)))))).alias("cell"))
+    gap = F.greatest("start", "o_start") - F.least("end", "o_end")
+    near = gap.between(0, scope) & (F.col("role") != F.col("o_role"))
     same = weak.k1.eqNullSafe(other.k1) & (weak.k2 == other.k2) & (weak.cell == other.cell)
     met = weak.join(other, same & near).groupBy(weak.k1, weak.k2, "start", "rank", "end", "role").agg(*(F.max((F.col("o_role") == i).cast("int")).alias(r) for i, r in enumerate(roles)))
     enough = F.lit(False)
@@ -95,14 +97,14 @@ def named(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with the union of the spans replaced by a mark.
+    """``text`` with the union of the spans, which are by start, replaced by a mark.
 
     The kept stretches lie between the furthest end so far and the next start; a span within an earlier one adds none.
+    Null stays null, no spans change nothing, repeated spans count once.
     """
     ends = F.transform(spans, lambda s: s["end"])
     n = F.size(spans)
-    # spans are by start: the furthest end before the i-th is the maximum of the ends before it; a text has few spans
-    reach = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0)))
+    reach = prefix_greatest(ends)
     kept = F.transform(
         F.arrays_zip(spans.alias("s"), reach.alias("r")),
         lambda x, i: F.when((i > 0) & (x["s"]["start"] < x["r"]), F.lit("")).otherwise(
@@ -116,7 +118,8 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def redact(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with every reported span replaced by ``[secret]``; columns as they were, ``n_chars`` follows the text.
 
-    Rows without a span are unchanged, null texts included.
+    Rows without a span are unchanged, null texts included; repeated rows stay repeated, and a null doc_id is matched
+    like any other. A text may have any number of spans. An empty table gives no rows.
     """
     k1, k2, spans, h = (fresh(docs, x) for x in ("k1", "k2", "spans", "h"))
     keyed = _keyed(docs, scope, text, doc_id).where(F.size("spans") > 0).dropDuplicates(["k1", "k2"]).toDF(k1, k2, spans)
