@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -99,10 +100,34 @@ def test_links_find_every_pair(spark):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     expected = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if close(a & (1 << 64) - 1, b & (1 << 64) - 1)}
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    for width in (3, 4, 5):
+    for width in (None, 3, 4, 5):
         assert {(r.a, r.b) for r in simhash.links(df, 3, width).collect()} == expected
 
 
+def test_blocks_and_count_filter(spark):
+    from itertools import combinations
+
+    chosen, least = simhash.blocks(3)
+    assert len(set(chosen)) == 28 and least == 2
+    assert {sum(set(c) <= set(k) for c in chosen) for k in combinations(range(8), 5)} == {2}
+    same = lambda a, b: {k for k in range(8) if a >> 8 * k & 255 == b >> 8 * k & 255}
+    rng = random.Random(3)
+    base = rng.getrandbits(63)
+    prints = [base]
+    for n in range(9):  # others that agree in n bytes
+        for _ in range(6):
+            other = base
+            for k in rng.sample(range(8), 8 - n):
+                other ^= rng.randrange(1, 128) << 8 * k
+            prints.append(other)
+    prints = sorted(set(prints))
+    got = {(r.a, r.b): r.lists for r in simhash.tallies(spark.createDataFrame([(p,) for p in prints], "fp long"), chosen).collect()}
+    expected = {(a, b): sum(set(c) <= same(a, b) for c in chosen) for a, b in combinations(prints, 2)}
+    assert got == {k: n for k, n in expected.items() if n}
+    kept = {k for k, n in got.items() if n >= least}
+    assert kept == {k for k in expected if len(same(*k)) >= 5} and len(kept) < len(got)  # the filter drops pairs
+
+
 def test_near_duplicates(spark):
     long = prose(300, 3)
     texts = [*ODD, long, long.upper(), long + " end", "start " + long, prose(40, 4), long]
@@ -293,7 +318,9 @@ def test_importance_keeps_the_like_of_the_target(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(0, 60, 2)] + [(60 + k, 0) for k in range(0, 30, 2)] + [(None, 1), (5, None), (2, 1)], "doc_id long, quality int")
     found, model, least = importance.resample(docs(spark, texts, extra=True), labels)
     got = {r.doc_id: r for r in found.collect()}
-    assert len(got) == len(texts) and all(got[k].selected for k in range(60)) and not any(got[60 + k].selected for k in range(30))
+    assert len(got) == len(texts) and sum(got[k].selected for k in range(60)) >= 45 and not any(got[60 + k].selected for k in range(30))
+    weight = lambda k: got[k].log_weight
+    assert min(map(weight, range(60))) > max(map(weight, range(60, 90))) + 3 and weight(90) == weight(91) == 0
     kept = importance.select(docs(spark, texts, extra=True), labels)
     assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.selected}
     assert importance.resample(none(spark), labels)[0].count() == 0
@@ -385,14 +412,16 @@ def test_chat_round_trip(spark, seed):
     bits = ["<turn x>", "</turn>", "\n", "<\\turn", "<\\\\/turn", "<part/>", "\\", "é", "### Assistant:", ">", "<", " ", "𝒳", "$1", "\\g", "\\n"]
     text = lambda: rng.choice([None, "", "".join(rng.choices(bits, k=rng.randrange(9)))])
     rows = [(c if c < 8 else None, t, rng.choice(["user", "assistant", "assistant", "sys>\\g\n\\", None]), text()) for c in range(9) for t in range(rng.randrange(1, 90 if c == 2 else 8))]
-    df = spark.createDataFrame([*rows, (20, None, "user", "x"), (20, 0, "user", "x"), (20, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([*rows, (20, None, "user", "x"), (20, 0, "user", "x"), (20, 0, "user", "x"), (None, 4, "user", "alone")], "conv_id long, turn long, role string, text string")
     out = chat.formatted(df.withColumn("formatted", F.lit(1))).select("conv_id", "formatted", "loss", chat.parsed(F.col("formatted")).alias("t"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("m")).collect()
     expected: dict = {}
     for c, t, r, x in df.collect():
         expected.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
-    assert len(out) == len(expected)
+    loose = expected.pop(None)  # each is a conversation of its own
+    assert Counter(r.t[0].text for r in out if r.conv_id is None) == Counter(x for _, _, x in loose)
+    assert len(out) == len(expected) + len(loose)
     for r in out:
-        turns = sorted(expected[r.conv_id])
+        turns = sorted(expected[r.conv_id]) if r.conv_id is not None else [(0, r.t[0].role, r.t[0].text)]
         assert [(t.role, t.text) for t in r.t] == [(a, b) for _, a, b in turns]
         assert r.m == "".join(b for _, a, b in turns if a == "assistant")
         assert len(r.loss) == sum(a == "assistant" for _, a, _ in turns)
@@ -466,19 +495,35 @@ def test_rule_counts(spark):
     assert rules.judge(none(spark)).count() == 0
 
 
-def test_em_finds_planted_accuracies():
+@pytest.mark.parametrize("alarms", [(0.01, 0.01, 0.01, 0.01), (0.2, 0.1, 0.05, 0.01), (0.02, 0.15, 0.02, 0.1)])
+def test_em_finds_planted_accuracies(alarms):
     rng = np.random.default_rng(0)
-    good = rng.random(40_000) < 0.85
-    votes = []
-    for hit in (0.6, 0.4, 0.5, 0.3):
-        wrong = rng.random(len(good)) < 0.0005
-        caught = rng.random(len(good)) < hit
-        votes.append(np.where(good, np.where(wrong, -1, 1), np.where(caught, -1, 1)) * (rng.random(len(good)) < 0.9))
-    patterns, back, counts = np.unique(np.stack(votes, 1), axis=0, return_inverse=True, return_counts=True)
-    right, share, posterior = rules.estimate(patterns, counts)
-    np.testing.assert_allclose(right[0], [0.6, 0.4, 0.5, 0.3], atol=0.08)
-    kept = posterior[back.ravel()] >= 0.5
-    assert kept[good].mean() > 0.995 and kept[~good].mean() < 0.25
+    good = rng.random(60_000) < 0.85
+    hits, cast = (0.9, 0.7, 0.8, 0.6), []
+    for hit, alarm in zip(hits, alarms, strict=True):
+        bad = rng.random(len(good)) < np.where(good, alarm, hit)
+        cast.append(np.where(bad, -1, 1) * (rng.random(len(good)) < 0.9))
+    patterns, back, counts = np.unique(np.stack(cast, 1), axis=0, return_inverse=True, return_counts=True)
+    calls, share, posterior = rules.estimate(patterns, counts)
+    np.testing.assert_allclose(calls, [hits, alarms], atol=0.04)
+    assert abs(share - 0.85) < 0.02
+    # the best verdict that the true rates allow is reached
+    log = (patterns < 0) @ np.log(np.array(hits) / alarms) + (patterns > 0) @ np.log((1 - np.array(hits)) / (1 - np.array(alarms))) + np.log(0.15 / 0.85)
+    best, kept = (log <= 0)[back.ravel()], (posterior >= 0.5)[back.ravel()]
+    assert (kept == good).mean() > (best == good).mean() - 0.002
+    one = (patterns[:, 0] < 0) & (patterns[:, 1:] >= 0).all(1)
+    assert (posterior[one & (patterns[:, 1:] > 0).all(1)] > 0.5).all()  # a lone bad vote doesn't reject
+
+
+def test_verdict_differs_from_passing_every_rule(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the tables aren't there")
+    rows = rules.judge(spark.read.parquet(path)).collect()
+    kept = [r for r in rows if r.posterior >= 0.5]
+    spared = [r for r in kept if "-" in r.votes]
+    assert len(spared) > 0.01 * len(rows) and all(r.votes.count("-") == 1 for r in spared)
+    assert len(kept) > 0.75 * len(rows) and any(r.posterior < 0.5 for r in rows)
 
 
 # warc
