@@ -1,14 +1,25 @@
 """Gated window features over a panel.
 
+Counts, sums and means over trailing rows are differences of running sums, so their cost is linear in the rows, whatever
+the window. Second and higher moments are not: after one outlier, a difference of running sums of squares would have lost
+the digits of all calmer windows. As columns they use moving frames, which Spark sums afresh for each row; ``trailing``
+computes any number of them for a series at once from matrices of windows, centred before they are squared, in one
+grouped map, which is several times faster.
+
 Three gates decide when a trailing window of w rows has a value: ``full`` (w rows, all present), ``half`` (w rows, at least
 max(2, w // 2) present) and ``any`` (w rows, one present at least).
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.panel import PANEL, Panel, clip, ratio
@@ -16,18 +27,134 @@ from lodestar.panel import PANEL, Panel, clip, ratio
 YEAR = 252
 
 
-def gated(x: Column, window: int, make: Callable, gate: str = "full", shift: int = 0, panel: Panel = PANEL, least: int | None = None) -> Column:
-    """``make`` of a column and a window, where the gate is open; ``least`` overrides the number of values needed."""
-    w = panel.trailing(window, shift)
-    need = least or {"full": window, "half": max(2, window // 2), "any": 1}[gate]
-    enough = F.count(x).over(w) >= need
-    if least is None:
-        enough &= F.count(F.lit(1)).over(w) == window
-    return F.when(enough, make(x, w))
-
-
-def mean(x: Column, w) -> Column:
-    return F.avg(x).over(w)
+class Trailing:
+    """Number, sum, mean and moments of the values in the last ``window`` rows, ending ``shift`` rows ago."""
+
+    def __init__(self, x: Column, window: int, shift: int = 0, panel: Panel = PANEL):
+        self.x, self.window, self._frame = x, window, panel.trailing(window, shift)
+        self._now, self._before = panel.expanding(shift), panel.expanding(shift + window)
+        self.n = F.count(x).over(self._now) - F.count(x).over(self._before)
+
+    @property
+    def full(self) -> Column:
+        """The window lies within the series."""
+        return F.count(F.lit(1)).over(self._now) >= self.window
+
+    @property
+    def sum(self) -> Column:
+        total = F.coalesce(F.sum(self.x).over(self._now), F.lit(0.0)) - F.coalesce(F.sum(self.x).over(self._before), F.lit(0.0))
+        return F.when(self.n > 0, total)
+
+    @property
+    def mean(self) -> Column:
+        return self.sum / self.n
+
+    def var(self, ddof: int = 1) -> Column:
+        return (F.var_samp if ddof else F.var_pop)(self.x).over(self._frame)
+
+    def sd(self, ddof: int = 1) -> Column:
+        return (F.stddev_samp if ddof else F.stddev_pop)(self.x).over(self._frame)
+
+    def cov(self, y: Column, ddof: int = 1) -> Column:
+        return (F.covar_samp if ddof else F.covar_pop)(self.x, y).over(self._frame)
+
+
+@dataclass(frozen=True)
+class Feature:
+    """A trailing statistic: sd, mean, z, skew or kurt of ``x``, or beta of ``x`` on ``y``.
+
+    ``least`` values are needed; ``full``: only once the window lies within the series; ``shift``: the window ends so many
+    rows ago; ``side``: only rows on which y is below (-1) or above (1) zero; ``scale``: a factor.
+    """
+
+    kind: str
+    x: str
+    window: int
+    least: int
+    y: str | None = None
+    ddof: int = 1
+    full: bool = True
+    shift: int = 0
+    side: int = 0
+    scale: float = 1.0
+
+
+#: Entries of a matrix of windows, at most about.
+_ENTRIES = 1 << 21
+
+
+def _feature(f: Feature, v: dict[str, np.ndarray]) -> np.ndarray:
+    x, y = v[f.x], v[f.y] if f.y else None
+    both = np.isfinite(x) if y is None else np.isfinite(x) & np.isfinite(y)
+    if f.side:
+        both &= np.sign(np.nan_to_num(y)) == f.side
+    size, out = len(x), np.full(len(x), np.nan)
+    pad = np.zeros(f.window - 1 + f.shift)
+    view = lambda a: np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, a])[: size + f.window - 1], f.window)
+    ok_all, x_all = view(both), view(np.where(both, x, 0.0))
+    y_all = None if y is None else view(np.where(both, y, 0.0))
+    step = max(1, _ENTRIES // f.window)
+    with np.errstate(all="ignore"):
+        for low in range(0, size, step):
+            part = slice(low, min(low + step, size))
+            ok, n = ok_all[part], ok_all[part].sum(1)
+            mean = x_all[part].sum(1) / n
+            d = (x_all[part] - mean[:, None]) * ok
+            var = (d * d).sum(1) / (n - f.ddof)
+            if f.kind == "mean":
+                made = mean
+            elif f.kind == "sd":
+                made = np.sqrt(var)
+            elif f.kind == "z":
+                made = np.where(np.sqrt(var) >= 1e-12, (x[part] - mean) / np.sqrt(var), np.nan)
+            elif f.kind == "beta":
+                e = (y_all[part] - (y_all[part].sum(1) / n)[:, None]) * ok
+                made = (d * e).sum(1) / (e * e).sum(1)
+            else:
+                power = {"skew": 3, "kurt": 4}[f.kind]
+                made = np.where(var > 1e-24, (d**power).sum(1) / n / var ** (power / 2), np.nan)
+            out[part] = np.where((n >= f.least) & (n > f.ddof * (f.kind != "mean")), made, np.nan)
+    if f.full:
+        out[: f.window - 1 + f.shift] = np.nan
+    out[~np.isfinite(out)] = np.nan
+    return f.scale * out
+
+
+def trailing(df: DataFrame, features: dict[str, Feature], keep: list[str] | None = None, panel: Panel = PANEL) -> DataFrame:
+    """(entity, dt, kept columns, features): one shuffle by entity; null where a feature has no value."""
+    needed = list(dict.fromkeys(c for f in features.values() for c in (f.x, f.y) if c))
+    kept = [c for c in keep or [] if c not in (panel.entity, panel.time)]
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(panel.time)
+        v = {c: pdf[f"__{c}"].to_numpy(float) for c in needed}
+        out = pdf[[panel.entity, panel.time, *kept]].copy()
+        for name, f in features.items():
+            out[name] = _feature(f, v)
+        return out
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (panel.entity, panel.time, *kept)] + [f"`{n}` double" for n in features])
+    slim = df.select(panel.entity, panel.time, *kept, *(F.col(c).cast("double").alias(f"__{c}") for c in needed))
+    found = slim.groupBy(panel.entity).applyInPandas(made, schema)
+    return found.select(panel.entity, panel.time, *kept, *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in features))
+
+
+def gated(x: Column, window: int, make: Callable[[Trailing], Column], gate: str = "full", shift: int = 0, panel: Panel = PANEL, least: int | None = None) -> Column:
+    """``make`` of the trailing values, where the gate is open; ``least`` overrides the number of values needed."""
+    t = Trailing(x, window, shift, panel)
+    open_ = t.n >= (least or {"full": window, "half": max(2, window // 2), "any": 1}[gate])
+    return F.when(open_ if least is not None else open_ & t.full, make(t))
+
+
+def mean(t: Trailing) -> Column:
+    return t.mean
+
+
+def extreme(x: Column, window: int, greatest: bool = True, panel: Panel = PANEL) -> Column:
+    """Greatest or least value of the trailing rows, where there is one: a moving frame."""
+    w = panel.trailing(window)
+    return F.when(Trailing(x, window, 0, panel).full, (F.max if greatest else F.min)(x).over(w))
 
 
 def change(x: str, lag: int = 1, panel: Panel = PANEL) -> Column:
@@ -39,7 +166,7 @@ def pct_change(x: str, panel: Panel = PANEL) -> Column:
 
 
 def log_return(r: Column, window: int, panel: Panel = PANEL) -> Column:
-    return gated(F.ln(1 + r), window, lambda x, w: F.sum(x).over(w), panel=panel)
+    return gated(F.ln(1 + r), window, lambda t: t.sum, panel=panel)
 
 
 def price_relative(r: Column, window: int, panel: Panel = PANEL) -> Column:
@@ -48,7 +175,7 @@ def price_relative(r: Column, window: int, panel: Panel = PANEL) -> Column:
 
 def momentum_12_1(r: Column, long: int = 252, skip: int = 21, panel: Panel = PANEL) -> Column:
     """Log return from ``long`` rows ago to ``skip`` rows ago."""
-    return gated(F.ln(1 + r), long - skip, lambda x, w: F.sum(x).over(w), shift=skip, panel=panel)
+    return gated(F.ln(1 + r), long - skip, lambda t: t.sum, shift=skip, panel=panel)
 
 
 def momentum_by_ratio(r: Column, long: int = 252, skip: int = 21, panel: Panel = PANEL) -> Column:
@@ -56,12 +183,12 @@ def momentum_by_ratio(r: Column, long: int = 252, skip: int = 21, panel: Panel =
 
 
 def volatility(r: Column, window: int, panel: Panel = PANEL, gate: str = "half") -> Column:
-    return gated(r, window, lambda x, w: F.stddev_samp(x).over(w), gate, panel=panel) * YEAR**0.5
+    return gated(r, window, lambda t: t.sd(), gate, panel=panel) * YEAR**0.5
 
 
 def past_volatility(r: Column, window: int = 252, least: int = 20, panel: Panel = PANEL) -> Column:
     """Population standard deviation of rows strictly before this one."""
-    return gated(r, window, lambda x, w: F.stddev_pop(x).over(w), shift=1, panel=panel, least=least)
+    return gated(r, window, lambda t: t.sd(0), shift=1, panel=panel, least=least)
 
 
 def parkinson(high: Column, low: Column) -> Column:
@@ -79,7 +206,7 @@ def rogers_satchell(open_: Column, high: Column, low: Column, close: Column) ->
 
 def yang_zhang(overnight: Column, intraday: Column, rs: Column, window: int = 21, panel: Panel = PANEL) -> Column:
     k = 0.34 / (1.34 + (window + 1) / (window - 1))
-    var = lambda x: gated(x, window, lambda v, w: F.var_samp(v).over(w), "half", panel=panel)
+    var = lambda x: gated(x, window, lambda t: t.var(), "half", panel=panel)
     total = var(overnight) + k * var(intraday) + (1 - k) * gated(rs, window, mean, "half", panel=panel)
     return F.sqrt(F.greatest(total, F.lit(0.0))) * YEAR**0.5
 
@@ -90,21 +217,20 @@ def amihud(r: Column, dollar_volume: Column, window: int = 21, panel: Panel = PA
 
 def power_moments(x: Column, window: int, panel: Panel = PANEL) -> tuple[Column, Column]:
     """Skewness and kurtosis (not excess) of centred moments scaled by the sample standard deviation."""
-    w = panel.trailing(window)
-    n = F.count(x).over(w)
-    s1, s2, s3, s4 = (F.sum(F.pow(x, F.lit(float(k)))).over(w) / n for k in (1, 2, 3, 4))
-    m3 = s3 - 3 * s1 * s2 + 2 * F.pow(s1, F.lit(3.0))
-    m4 = s4 - 4 * s1 * s3 + 6 * s1 * s1 * s2 - 3 * F.pow(s1, F.lit(4.0))
-    sd = F.stddev_samp(x).over(w)
-    open_ = (n == window) & (F.count(F.lit(1)).over(w) == window) & (sd > 1e-12)
-    return F.when(open_, m3 / F.pow(sd, F.lit(3.0))), F.when(open_, m4 / F.pow(sd, F.lit(4.0)))
+    w, t = panel.trailing(window), Trailing(x, window, 0, panel)
+    s1, s2, s3, s4 = (F.avg(v).over(w) for v in (x, x * x, x * x * x, x * x * x * x))
+    m3 = s3 - 3 * s1 * s2 + 2 * s1 * s1 * s1
+    m4 = s4 - 4 * s1 * s3 + 6 * s1 * s1 * s2 - 3 * s1 * s1 * s1 * s1
+    var = t.var()
+    open_ = (t.n == window) & t.full & (var > 1e-24)
+    return F.when(open_, m3 / F.pow(var, F.lit(1.5))), F.when(open_, m4 / (var * var))
 
 
 def beta(r: Column, market: Column, window: int = 63, least: int = 21, panel: Panel = PANEL, when: Column | None = None) -> Column:
     """Covariance with the market by its variance over the rows that have both and, if given, meet a condition."""
     both = r.isNotNull() & market.isNotNull() if when is None else r.isNotNull() & market.isNotNull() & when
-    x, m, w = F.when(both, r), F.when(both, market), panel.trailing(window)
-    return F.when(F.count(x).over(w) >= least, ratio(F.covar_samp(x, m).over(w), F.var_samp(m).over(w)))
+    x, t = F.when(both, r), Trailing(F.when(both, market), window, 0, panel)
+    return F.when(t.n >= least, ratio(t.cov(x), t.var()))
 
 
 def asymmetric_beta(r: Column, market: Column, window: int = 63, least: int = 5, panel: Panel = PANEL) -> Column:
@@ -112,10 +238,44 @@ def asymmetric_beta(r: Column, market: Column, window: int = 63, least: int = 5,
 
 
 def rolling_z(x: Column, window: int = 252, least: int | None = None, panel: Panel = PANEL) -> Column:
-    least = least or max(20, window // 5)
+    t = Trailing(x, window, 0, panel)
+    return F.when((t.n >= (least or max(20, window // 5))) & (t.sd(0) >= 1e-12), (x - t.mean) / t.sd(0))
+
+
+def vol_of_vol(r: str, window: int = 21, of: int = 21, panel: Panel = PANEL) -> Callable[[DataFrame], DataFrame]:
+    """Two stages, as a window over a window's result: adds ``hv`` and ``vol_of_vol``."""
+    return lambda df: df.withColumn("hv", volatility(F.col(r), window, panel)).withColumn("vol_of_vol", gated(F.col("hv"), of, lambda t: t.sd(), "half", panel=panel))
+
+
+def variance_risk_premium(iv: Column, hv: Column) -> Column:
+    """Squared implied less squared historical volatility."""
+    return iv * iv - hv * hv
+
+
+def tail_asymmetry(df: DataFrame, r: str, market: str, window: int = 63, level: float = 0.95, least: int | None = None, name: str = "tail_asymmetry", panel: Panel = PANEL) -> DataFrame:
+    """Adds upper less lower empirical tail dependence on the market over the trailing rows that have both.
+
+    Ranks are those within the window, by value and then by age. Each row carries its window's pairs as an array of at most
+    ``window`` entries.
+    """
+    least = least or max(8, window // 3)
     w = panel.trailing(window)
-    sd = F.stddev_pop(x).over(w)
-    return F.when((F.count(x).over(w) >= least) & (sd >= 1e-12), (x - F.avg(x).over(w)) / sd)
+    pair = F.when(F.col(r).isNotNull() & F.col(market).isNotNull(), F.struct(F.col(r).alias("y"), F.col(market).alias("m")))
+    held = df.withColumn("__w", F.collect_list(pair).over(w)).withColumn("__full", F.count(F.lit(1)).over(w) == window)
+    n = F.size("__w")
+
+    def ranks(field: str) -> Column:
+        """For each pair of the window, its rank by the field, counted from 1."""
+        order = F.array_sort(F.transform("__w", lambda x, i: F.struct(x[field].alias("v"), i.alias("i"))))
+        placed = F.map_from_arrays(F.transform(order, lambda x: x["i"]), F.sequence(F.lit(1), n))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(placed, i) / (n + 1)))
+
+    ranked = held.withColumn("__u", F.arrays_zip(ranks("y").alias("y"), ranks("m").alias("m")))
+    up = F.filter("__u", lambda x: x["y"] > level)
+    low = F.filter("__u", lambda x: x["y"] < 1 - level)
+    share = lambda a, keep: F.when(F.size(a) > 0, F.size(F.filter(a, keep)) / F.size(a))
+    value = share(up, lambda x: x["m"] > level) - share(low, lambda x: x["m"] < 1 - level)
+    return ranked.withColumn(name, F.when(F.col("__full") & (n >= least), value)).drop("__w", "__u", "__full")
 
 
 def expanding_z(x: Column, least: int = 2, bound: float = 3.0, panel: Panel = PANEL, warm_up: int = 0) -> Column:
@@ -126,8 +286,39 @@ def expanding_z(x: Column, least: int = 2, bound: float = 3.0, panel: Panel = PA
     return F.when(F.row_number().over(panel.series) <= warm_up, 0.0).otherwise(z) if warm_up else z
 
 
-def expanding_quantile_flag(x: Column, q: float, panel: Panel = PANEL) -> Column:
-    return x > F.percentile(x, F.lit(q)).over(panel.expanding())
+def expanding_quantile(df: DataFrame, x: str, q: float, name: str = "threshold", panel: Panel = PANEL) -> DataFrame:
+    """(entity, dt, x, threshold): the linearly interpolated quantile of an entity's values up to the row, its own included.
+
+    Two heaps around the quantile are kept for each series, so a row costs a logarithm of its history; a window function
+    would sort the history again at every row.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(panel.time)
+        low: list[float] = []  # the smallest, negated, up to the quantile's lower neighbour
+        high: list[float] = []
+        out = []
+        for v in pdf[x]:
+            if v is not None and v == v:
+                if low and v < -low[0]:
+                    heapq.heappush(low, -v)
+                else:
+                    heapq.heappush(high, v)
+                size = len(low) + len(high)
+                want = int(math.floor(q * (size - 1))) + 1
+                while len(low) < want:
+                    heapq.heappush(low, -heapq.heappop(high))
+                while len(low) > want:
+                    heapq.heappush(high, -heapq.heappop(low))
+            size = len(low) + len(high)
+            at = q * (size - 1)
+            part = at - math.floor(at)
+            out.append(math.nan if not size else -low[0] + (part * (high[0] + low[0]) if part and high else 0.0))
+        return pdf.assign(**{name: out})[[panel.entity, panel.time, x, name]]
+
+    kinds = dict(df.dtypes)
+    schema = f"{panel.entity} {kinds[panel.entity]}, {panel.time} {kinds[panel.time]}, {x} double, {name} double"
+    return df.select(panel.entity, panel.time, x).groupBy(panel.entity).applyInPandas(walk, schema)
 
 
 def rank_in_history(x: Column, window: int = 252, panel: Panel = PANEL) -> Column:
@@ -149,5 +340,5 @@ def forward_fill(x: str | Column, limit: int | None = None, panel: Panel = PANEL
 
 
 def trailing_yield(paid: Column, price: Column, window: int = 252, least: int = 21, panel: Panel = PANEL) -> Column:
-    total = F.sum(F.coalesce(paid, F.lit(0.0))).over(panel.trailing(window))
+    total = Trailing(F.coalesce(paid, F.lit(0.0)), window, 0, panel).sum
     return F.when(F.row_number().over(panel.series) >= least, ratio(total, price))

@@ -73,12 +73,18 @@ def nearest_join(left: DataFrame, right: DataFrame, on: str, by: list[str], valu
 
 
 def interval_join(left: DataFrame, links: DataFrame, by: str, on: str, start: str, end: str, order: list[Column], how: str = "left") -> DataFrame:
-    """The best link whose [start, end] holds the date; an open end is null. ``order`` ranks links; the first wins."""
-    hit = (F.col(f"l.{by}") == F.col(f"r.{by}")) & (F.col(f"l.{on}") >= F.col(f"r.{start}")) & (F.col(f"r.{end}").isNull() | (F.col(f"l.{on}") <= F.col(f"r.{end}")))
-    joined = left.alias("l").join(links.alias("r"), hit, how)
+    """The best link whose [start, end] holds the date; an open end is null. ``order`` ranks links; the first wins.
+
+    ``order`` may name the links' columns with the prefix "r.". The best link is found for each distinct key and date and joined back, so repeated rows of ``left`` stay repeated and its
+    other columns may be of any type. ``how``: left or inner.
+    """
     extra = [c for c in links.columns if c != by]
-    w = Window.partitionBy(*(F.col(f"l.{c}") for c in left.columns)).orderBy(*order)
-    return joined.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select(*(F.col(f"l.{c}") for c in left.columns), *(F.col(f"r.{c}") for c in extra))
+    moments = left.select(F.col(by).alias("__k"), F.col(on).alias("__t")).where("__k is not null and __t is not null").distinct()
+    hit = (F.col("__k") == F.col(f"r.{by}")) & (F.col("__t") >= F.col(f"r.{start}")) & (F.col(f"r.{end}").isNull() | (F.col("__t") <= F.col(f"r.{end}")))
+    ranked = moments.join(links.alias("r"), hit).withColumn("__rank", F.row_number().over(Window.partitionBy("__k", "__t").orderBy(*order))).where("__rank = 1")
+    best = ranked.select("__k", "__t", *(F.col(c).alias(f"__r_{c}") for c in extra))
+    joined = left.join(best, (left[by] == F.col("__k")) & (left[on] == F.col("__t")), how)
+    return joined.select(*(left[c] for c in left.columns), *(F.col(f"__r_{c}").alias(c) for c in extra))
 
 
 def members_at(members: DataFrame, date: Column, start: str = "start_date", end: str = "end_date", member: str = "member") -> DataFrame:
@@ -115,3 +121,92 @@ def latest_version(log: DataFrame, keys: list[str], knowledge: str, as_of: Colum
 def exact_else_asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str) -> DataFrame:
     """The value of the same date, or else the last before; missing values don't count."""
     return asof_join(left, right.where(F.col(value).isNotNull()), on, by, [value])
+
+
+def in_interval(df: DataFrame, spans: DataFrame, by: str, on: str, start: str, end: str, values: dict[str, Column]) -> DataFrame:
+    """``spans`` with aggregates of the rows of ``df`` within each span (ends included; an open end is null) by key.
+
+    Equal spans share a result. Spans without a row keep null.
+    """
+    keys = spans.select(by, start, end).distinct()
+    hit = (df[by] == keys[by]) & (df[on] >= keys[start]) & (keys[end].isNull() | (df[on] <= keys[end]))
+    found = keys.join(df, hit).groupBy(keys[by].alias("__k"), keys[start].alias("__s"), keys[end].alias("__e")).agg(*(c.alias(n) for n, c in values.items()))
+    same = spans[by].eqNullSafe(F.col("__k")) & spans[start].eqNullSafe(F.col("__s")) & spans[end].eqNullSafe(F.col("__e"))
+    return spans.join(found, same, "left").select(*(spans[c] for c in spans.columns), *values)
+
+
+def episode_median(episodes: DataFrame, df: DataFrame, by: str, on: str, value: str, start: str = "start", end: str = "end", name: str | None = None) -> DataFrame:
+    """Adds the median of a value within each episode, or over the key's whole history where it has none there."""
+    name = name or f"median_{value}"
+    mid = F.percentile(value, F.lit(0.5))
+    inside = in_interval(df.where(F.col(value).isNotNull()), episodes, by, on, start, end, {"__m": mid})
+    whole = df.groupBy(F.col(by).alias("__w")).agg(mid.alias("__a"))
+    return inside.join(whole, F.col(by) == F.col("__w"), "left").select(*episodes.columns, F.coalesce("__m", "__a").alias(name))
+
+
+def episode_latest(episodes: DataFrame, df: DataFrame, by: str, on: str, values: list[str], end: str = "end") -> DataFrame:
+    """Adds the values of the last row at or before each episode's end."""
+    return asof_join(episodes, df, end, [by], values, on)
+
+
+def spine(facts: DataFrame, first: DataFrame, second: DataFrame, outer: str, middle: str, inner: str, columns: list[str], width: int = 6) -> DataFrame:
+    """Facts keyed by ``outer`` (zero-padded) carried over two distinct link tables to ``inner``: kept where the second has the link."""
+    from lodestar.functions.scalars import padded_key
+
+    pad = lambda df: df.withColumn(outer, padded_key(F.col(outer).cast("string"), width))
+    missing = [c for c in columns if c not in facts.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    thin = pad(facts.select(outer, *columns))
+    up = pad(first).select(outer, F.col(middle).try_cast("long").alias(middle)).distinct()
+    down = second.select(F.col(middle).try_cast("long").alias(middle), inner).distinct()
+    return thin.join(up, outer, "left").join(down, middle)
+
+
+def read_filled(log: DataFrame, keys: list[str], event: str, knowledge: str, as_of: Column, start: str, end: str, values: list[str], rates: list[str] | None = None) -> DataFrame:
+    """What was known of a series on each business day or event day from start to end, filled forwards only.
+
+    The latest version of each event by ``as_of`` counts. Days on which a value other than a rate is still missing are
+    dropped; rates that haven't begun are 0. One series of days: a row each.
+    """
+    rates = rates or []
+    known = latest_version(log, [*keys, event], knowledge, as_of).select(F.col(event).cast("date").alias("__d"), *values)
+    known = known.where(F.col("__d") <= F.lit(end).cast("date"))
+    days = calendar(start, end, log.sparkSession, True, "__d")
+    every = known.select("__d").union(days).distinct().join(known, "__d", "left")
+    w = Window.orderBy("__d").rowsBetween(UNBOUNDED, 0)
+    filled = every.select("__d", *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values)).where(F.col("__d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    for v in values:
+        filled = filled.where(F.col(v).isNotNull()) if v not in rates else filled.withColumn(v, F.coalesce(v, F.lit(0.0)))
+    return filled.withColumnRenamed("__d", event)
+
+
+def wide_macro(log: DataFrame, series: str, event: str, available: str, value: str, names: list[str], start: str, end: str) -> DataFrame:
+    """A row for each day from start to end with the last released value of each named series on it."""
+    days = calendar(start, end, log.sparkSession, False, "dt")
+    every = days.crossJoin(F.broadcast(log.sparkSession.range(1).select(F.explode(F.array(*(F.lit(n) for n in names))).alias(series))))
+    latest = log.where(F.col(series).isin(*names)).groupBy(series, F.col(available).cast("date").alias("__a")).agg(F.max_by(value, event).alias(value))
+    found = asof_join(every, latest, "dt", [series], [value], "__a")
+    return found.groupBy("dt").pivot(series, names).agg(F.max(value))
+
+
+def selection_status(universe_end: str, eval_start: str, phase: str) -> dict[str, str | bool]:
+    """Whether a universe was chosen before it is judged; dates are ISO strings. Training phases may overlap, others not."""
+    late = universe_end >= eval_start
+    return {"universe_end": universe_end, "eval_start": eval_start, "phase": phase, "point_in_time": not late, "status": "ok" if not late else "in_sample" if phase == "train" else "look_ahead"}
+
+
+def assert_point_in_time(universe_end: str, eval_start: str, phase: str) -> None:
+    if selection_status(universe_end, eval_start, phase)["status"] == "look_ahead":
+        raise ValueError(f"the universe ends on {universe_end}, at or after the start of evaluation, {eval_start}")
+
+
+def universe_end(mode: str, requested: str, eval_start: str, fold_reselect: bool = False) -> str:
+    """The last date that selection may see: as requested for "fixed", the day before evaluation for "point_in_time"."""
+    from datetime import date, timedelta
+
+    if mode == "fixed" or (mode == "fold" and fold_reselect):
+        return requested
+    if mode == "point_in_time":
+        return min(requested, (date.fromisoformat(eval_start) - timedelta(days=1)).isoformat())
+    raise ValueError(f"unknown mode {mode!r}" if mode != "fold" else "selection within folds has to be allowed")

@@ -95,3 +95,24 @@ def set_turnover(df: DataFrame, panel: Panel = PANEL) -> DataFrame:
     sets = df.groupBy(panel.time).agg(F.array_sort(F.collect_set(panel.entity)).alias("now"))
     before = F.coalesce(F.lag("now").over(Window.orderBy(panel.time)), F.array().cast(sets.schema["now"].dataType))
     return sets.withColumn("was", before).select(panel.time, F.size(F.array_except("now", "was")).alias("came"), F.size(F.array_except("was", "now")).alias("went"), F.size("now").alias("held"))
+
+
+def head_summary(df: DataFrame, by: list[str], medians: dict[str, str], counts: dict[str, Column], kinds: str) -> DataFrame:
+    """Per group: rows, medians, conditional counts, and a map from each kind to its number of rows."""
+    own = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    each = df.where(F.col(kinds).isNotNull()).groupBy(*by, kinds).agg(F.count(F.lit(1)).alias("__n"))
+    maps = each.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kinds, "__n")))).alias("counts"))
+    return own.join(maps, by, "left")
+
+
+def bridge_coverage(df: DataFrame, bridge: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: rows, those whose key the bridge has, and their share."""
+    marked = df.join(bridge.select(*keys).distinct().withColumn("__in", F.lit(True)), keys, "left")
+    return marked.agg(F.count(F.lit(1)).alias("total"), F.count("__in").alias("bridged"), F.try_divide(F.count("__in"), F.count(F.lit(1))).alias("share"))
+
+
+def one_hot(df: DataFrame, group: str, k: int = 11) -> DataFrame:
+    """Adds ``<group>_0`` to ``<group>_(k-1)``: 1 for the k most frequent groups in order, ties by name. A row for each group is ranked."""
+    ranked = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.row_number().over(Window.orderBy(F.desc("__n"), group)) - 1).where(F.col("__k") < k)
+    out = df.join(F.broadcast(ranked.select(group, "__k")), group, "left")
+    return out.select(*df.columns, *(F.coalesce((F.col("__k") == i).cast("int"), F.lit(0)).alias(f"{group}_{i}") for i in range(k)))

@@ -14,16 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.rolling import Trailing
 from lodestar.panel import PANEL, Panel
 
 
 def residual_volatility(y: Column, x: Column, window: int = 63, panel: Panel = PANEL) -> Column:
     """Annualised standard deviation of one-factor residuals, in closed form over the trailing rows that are all present."""
     both = y.isNotNull() & x.isNotNull()
-    a, b, w = F.when(both, y), F.when(both, x), panel.trailing(window)
-    n = F.count(a).over(w)
-    rest = F.var_pop(a).over(w) - F.try_divide(F.pow(F.covar_pop(a, b).over(w), 2), F.nullif(F.var_pop(b).over(w), F.lit(0.0)))
-    return F.when(n == window, F.sqrt(F.greatest(rest, F.lit(0.0)) * n / (n - 1)) * 252**0.5)
+    a, b = F.when(both, y), F.when(both, x)
+    ta, tb = Trailing(a, window, 0, panel), Trailing(b, window, 0, panel)
+    rest = ta.var(0) - F.try_divide(F.pow(ta.cov(b, 0), 2), F.nullif(tb.var(0), F.lit(0.0)))
+    return F.when(ta.n == window, F.sqrt(F.greatest(rest, F.lit(0.0)) * window / (window - 1)) * 252**0.5)
 
 
 def rolling_regression(df: DataFrame, y: str, factors: list[str], window: int = 252, hold: int = 21, panel: Panel = PANEL) -> DataFrame:
@@ -69,7 +70,7 @@ def matrix(df: DataFrame, x: str, panel: Panel = PANEL):
     """Rows of dates by sorted entities, as one pandas frame inside a grouped map."""
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.pivot_table(index=panel.time, columns=panel.entity, values=x, aggfunc="last").sort_index().sort_index(axis=1)
+        return pdf.pivot_table(index=panel.time, columns=panel.entity, values=x, aggfunc="last", dropna=False).sort_index().sort_index(axis=1)
 
     return table
 
@@ -107,18 +108,20 @@ def turbulence(df: DataFrame, x: str, window: int = 252, least: int = 60, block:
     return rows.join(dates, panel.time).groupBy("__block").applyInPandas(distances, f"{panel.time} {dict(df.dtypes)[panel.time]}, turbulence double")
 
 
-def _simplex(v: np.ndarray) -> np.ndarray:
-    """The nearest point with non-negative parts that add up to 1."""
-    u = np.sort(v)[::-1]
-    css = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
-    return np.maximum(v - css[np.flatnonzero(u > css)[-1]], 0)
+def _shares(v: np.ndarray) -> np.ndarray:
+    """What is positive, as shares of 1; equal shares if nothing is."""
+    v = np.maximum(np.nan_to_num(v), 0.0)
+    return v / v.sum() if v.sum() > 1e-12 else np.full(len(v), 1 / len(v))
 
 
-def online_portfolio(df: DataFrame, r: str, entities: DataFrame | None = None, method: str = "eg", eta: float = 0.05, window: int = 5, epsilon: float | None = None, panel: Panel = PANEL) -> DataFrame:
-    """Weights before each date's returns: exponentiated gradient, passive-aggressive or moving-average reversion.
+def online_portfolio(df: DataFrame, r: str, entities: DataFrame | None = None, method: str = "eg", eta: float = 0.05, window: int = 5, epsilon: float | None = None, aggressiveness: float = 500.0, samples: int = 1000, seed: int = 0, panel: Panel = PANEL) -> DataFrame:
+    """Weights before each date's returns, by name: eg (exponentiated gradient), pamr (passive-aggressive reversion), olmar
+    (moving-average reversion), universal (Cover's, by Dirichlet samples) or bah (buy and hold). A missing return is 0.
 
     Over all entities unless some are given. One task walks over the dates, as a step needs every weight of the one before.
     """
+    if method not in ONLINE:
+        raise KeyError(f"unknown algorithm {method!r}; known: {ONLINE}")
     few = df if entities is None else df.join(F.broadcast(entities), panel.entity, "left_semi")
     few = few.select(panel.entity, panel.time, r).withColumn("__all", F.lit(0))
     table = matrix(df, r, panel)
@@ -126,27 +129,40 @@ def online_portfolio(df: DataFrame, r: str, entities: DataFrame | None = None, m
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         m = table(pdf).fillna(0.0)
         x = 1 + m.to_numpy(float)
-        w, out = np.full(x.shape[1], 1 / x.shape[1]), np.zeros_like(x)
+        k = x.shape[1]
+        w, out = np.full(k, 1 / k), np.zeros_like(x)
+        if method == "universal":
+            mixes = np.random.default_rng(seed).dirichlet(np.ones(k), size=samples)
+            wealth = np.zeros(samples)
         for t in range(len(x)):
             out[t] = w
             if method == "eg":
-                w = w * np.exp(eta * x[t] / max(w @ x[t], 1e-12))
-                w = w / w.sum()
-                continue
-            if method == "pamr":
-                signal, loss, sign = x[t], max(0.0, w @ x[t] - (0.5 if epsilon is None else epsilon)), -1
+                w = _shares(w * np.exp(eta * x[t] / max(w @ x[t], 1e-12)))
+            elif method == "bah":
+                w = _shares(w * x[t])
+            elif method == "universal":
+                wealth += np.log(np.maximum(mixes @ x[t], 1e-12))
+                share = np.exp(wealth - wealth.max())
+                w = _shares(share / share.sum() @ mixes)
+            elif method == "pamr":
+                off = x[t] - x[t].mean()
+                loss = max(0.0, w @ x[t] - (0.5 if epsilon is None else epsilon))
+                w = _shares(w - loss / (off @ off + 1 / (2 * aggressiveness)) * off)
             else:
-                prices = np.cumprod(x[max(0, t - window + 1) : t + 1], axis=0)
-                signal = prices.mean(0) / np.maximum(prices[-1], 1e-12)
-                loss, sign = max(0.0, (10.0 if epsilon is None else epsilon) - w @ signal), 1
-            off = signal - signal.mean()
-            w = _simplex(w + sign * loss / max(off @ off, 1e-12) * off)
-        return pd.DataFrame({panel.time: np.repeat(m.index.to_numpy(), len(m.columns)), panel.entity: np.tile(m.columns.to_numpy(), len(m)), "weight": out.ravel()})
+                expected = np.maximum(x[max(0, t - window + 1) : t + 1].mean(0), 1e-12)
+                off = expected - expected.mean()
+                if off @ off >= 1e-12:
+                    w = _shares(w + max(0.0, (10.0 if epsilon is None else epsilon) - w @ expected) / (off @ off) * off)
+        return pd.DataFrame({panel.time: np.repeat(m.index.to_numpy(), k), panel.entity: np.tile(m.columns.to_numpy(), len(m)), "weight": out.ravel()})
 
     kinds = dict(df.dtypes)
     return few.groupBy("__all").applyInPandas(walk, f"{panel.time} {kinds[panel.time]}, {panel.entity} {kinds[panel.entity]}, weight double")
 
 
+#: Names of the online portfolios.
+ONLINE = ("eg", "pamr", "olmar", "universal", "bah")
+
+
 def trailing_blocks(df: DataFrame, x: str, rebalances: DataFrame, days: int, panel: Panel = PANEL) -> DataFrame:
     """(rebalance, entity, dt, x): strictly earlier rows within so many days of each rebalance date, months as cells."""
     r = rebalances.select(F.col(panel.time).alias("rebalance")).distinct()
@@ -209,7 +225,7 @@ def spread_out(df: DataFrame, r: str, rebalances: DataFrame, k: int = 10, days:
         m = pdf.pivot_table(index=panel.time, columns=panel.entity, values=r, aggfunc="last").sort_index().sort_index(axis=1)
         m = m.loc[:, m.notna().sum() >= least]
         if not m.shape[1]:
-            return pd.DataFrame({"rebalance": [], "slot": [], panel.entity: []})
+            return pd.DataFrame(columns=["rebalance", "slot", panel.entity])
         corr = np.nan_to_num(np.atleast_2d(np.corrcoef(m.fillna(0.0).to_numpy(float), rowvar=False)))
         chosen = [int(m.notna().sum().to_numpy().argmax())]
         while len(chosen) < min(k, m.shape[1]):

@@ -66,7 +66,10 @@ def false_discovery(df: DataFrame, p: str, rate: float = 0.05) -> DataFrame:
 
 def overfitting_probability(df: DataFrame, x: str, time: str, trial: str, blocks: int = 8) -> DataFrame:
     """Share of half-combinations of blocks whose best trial in sample ranks below the median out of sample."""
-    placed = df.withColumn("__b", F.floor((F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(time)) - 1) * blocks / F.lit(df.select(time).distinct().count())).cast("int"))
+    dates = df.select(time).distinct()  # the calendar alone is ranked in one task, not the facts
+    everything = Window.partitionBy(F.lit(0))
+    dates = dates.select(time, F.floor((F.row_number().over(everything.orderBy(time)) - 1) * blocks / F.count(F.lit(1)).over(everything)).cast("int").alias("__b"))
+    placed = df.join(F.broadcast(dates), time)
     sums = placed.groupBy(trial, "__b").agg(F.count(x).alias("c"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     halves = df.sparkSession.createDataFrame([(i, b, b in c) for i, c in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)], "combo int, __b int, inside boolean")
     total = sums.join(F.broadcast(halves), "__b").groupBy("combo", trial, "inside").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"))
@@ -189,7 +192,8 @@ def follow_the_leader(df: DataFrame, loss: str, time: str, expert: str) -> DataF
 
 
 def mix_experts(df: DataFrame, loss: str, time: str, expert: str, experts: list[str], method: str = "adahedge", by: str | None = None, rate: float = 0.5, share: float = 0.05) -> DataFrame:
-    """Weights of each date, before its losses are seen: adahedge, hedge, fixed_share, variable_share or page_hinkley.
+    """Weights of each date, before its losses are seen: adahedge, hedge, fixed_share, variable_share, boa or page_hinkley;
+    eg takes returns in place of losses.
 
     Sequential in time, so a grouped map over one matrix of dates by experts for each value of ``by``.
     """
@@ -197,14 +201,14 @@ def mix_experts(df: DataFrame, loss: str, time: str, expert: str, experts: list[
 
     def walk(losses: np.ndarray) -> np.ndarray:
         w, out = np.full(n, 1 / n), np.zeros_like(losses)
-        total, gap, mean, drift, count, held = np.zeros(n), 0.0, 0.0, 0.0, 0, 0
+        total, gap, drift, held = np.zeros(n), 0.0, 0.0, 0
         for t, x in enumerate(losses):
             if method == "adahedge":
                 low = total.min()
                 w = (total <= low + 1e-15).astype(float) if gap <= 0 else np.exp(-math.log(n) / gap * (total - low))
                 w /= w.sum()
             elif method == "page_hinkley":
-                w = np.eye(n)[held]
+                w = np.eye(n)[held] if t else np.full(n, 1 / n)
             out[t] = w
             total = total + x
             if method == "adahedge":
@@ -212,11 +216,17 @@ def mix_experts(df: DataFrame, loss: str, time: str, expert: str, experts: list[
                 mixed = x[w > 0].min() if eta == math.inf else x.min() - math.log(float(w @ np.exp(-eta * (x - x.min())))) / eta
                 gap += max(0.0, float(w @ x) - mixed)
             elif method == "page_hinkley":
-                count += 1
-                mean += (x[held] - mean) / count
-                drift = max(0.0, drift + x[held] - mean - 1e-4)
-                if drift > 0.02:
-                    held, drift, mean, count = int(total.argmin()), 0.0, 0.0, 0
+                if t:
+                    drift = max(0.0, drift + x[held] - x.mean() - 1e-4)
+                if drift > 0.02:  # the least cumulative loss, or the next if that is held already
+                    order = np.argsort(total, kind="stable")
+                    held, drift = int(order[0] if order[0] != held or n == 1 else order[1]), 0.0
+            elif method == "boa":
+                w = w * np.exp(-rate * x * (1 + rate * x))
+                w /= w.sum()
+            elif method == "eg":  # losses are returns here
+                w = w * np.exp(rate * (1 + x) / max(float(w @ (1 + x)), 1e-12))
+                w /= w.sum()
             else:
                 w = w * np.exp(-rate * (x - x.min()))
                 w /= w.sum()
@@ -250,16 +260,35 @@ def garch(df: DataFrame, r: str, time: str, by: str, omega: float = 1e-6, a: flo
     return listed.select(by, F.size("s").alias("n"), last.alias("variance"))
 
 
-def pairwise_correlation(df: DataFrame, x: str, time: str, entity: str, entities: DataFrame) -> DataFrame:
-    """(a, b, corr) over common dates for a stated, small set of entities."""
-    few = df.join(F.broadcast(entities), entity, "left_semi").where(F.col(x).isNotNull()).select(time, entity, x)
+def garch_path(df: DataFrame, x: str, time: str, by: str, history: int, name: str = "forecast", omega: float = 1e-6, a: float = 0.08, b: float = 0.9) -> DataFrame:
+    """Adds the root of the recursive variance of the changes of ``x`` over the last ``history`` rows, the first change being 0.
+
+    A fold over an array of at most ``history`` entries; it starts at the variance of the first 20 changes (or tenth of them).
+    """
+    w = Window.partitionBy(by).orderBy(time).rowsBetween(-(history - 1), 0)
+    held = df.withColumn("__v", F.collect_list(x).over(w))
+    n = F.size("__v")
+    held = held.withColumn("__c", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, 0.0).otherwise(F.get("__v", i) - F.get("__v", i - 1))))
+    held = held.withColumn("__f", F.slice("__c", F.lit(1), F.greatest(F.lit(20), F.floor(n / 10).cast("int"))))
+    total = lambda f: F.aggregate("__f", F.lit(0.0), lambda s, v: s + f(v))
+    mean = total(lambda v: v) / F.size("__f")
+    held = held.withColumn("__h", F.when(n > 5, F.greatest(total(lambda v: v * v) / F.size("__f") - mean * mean, F.lit(0.0))).otherwise(1e-4) + 1e-8)
+    last = F.aggregate(F.slice("__c", 1, F.greatest(n - 1, F.lit(0))), F.col("__h"), lambda h, v: F.greatest(omega + a * v * v + b * h, F.lit(1e-12)))
+    return held.withColumn(name, F.sqrt(last)).drop("__v", "__c", "__f", "__h")
+
+
+def pairwise_correlation(df: DataFrame, x: str, time: str, entity: str, entities: DataFrame | None = None) -> DataFrame:
+    """(a, b, corr) over common dates of every two entities, or of those in a stated set. The result has a row for each
+    pair; products are summed within a task before they are shuffled by pair."""
+    few = df if entities is None else df.join(F.broadcast(entities), entity, "left_semi")
+    few = few.where(F.col(x).isNotNull()).select(time, entity, x)
     left, right = few.toDF(time, "a", "x"), few.toDF(time, "b", "y")
     return left.join(right, time).where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
-def tail_dependence(df: DataFrame, x: str, time: str, entity: str, entities: DataFrame, level: float = 0.9) -> DataFrame:
-    """Symmetric shares of joint exceedance of each series' own rank quantile."""
-    few = df.join(F.broadcast(entities), entity, "left_semi").where(F.col(x).isNotNull())
+def tail_dependence(df: DataFrame, x: str, time: str, entity: str, entities: DataFrame | None = None, level: float = 0.9) -> DataFrame:
+    """Symmetric shares of joint exceedance of each series' own rank quantile, for pairs that exceed it together at all."""
+    few = (df if entities is None else df.join(F.broadcast(entities), entity, "left_semi")).where(F.col(x).isNotNull())
     rank = F.row_number().over(Window.partitionBy(entity).orderBy(x, time))
     n = F.count(F.lit(1)).over(Window.partitionBy(entity))
     hit = few.withColumn("__u", rank / (n + 1)).where(F.col("__u") > level).select(time, entity)

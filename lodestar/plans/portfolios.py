@@ -109,5 +109,5 @@ def best_single(spark, sf_dir):
 
 @query("trailing_sharpe", f"{P} SELECT entity, dt, ROUND(CASE WHEN COUNT(r) OVER {win(63)} >= 31 AND COUNT(*) OVER {win(63)} = 63 THEN AVG(r) OVER {win(63)} / (STDDEV_POP(r) OVER {win(63)} + 1e-12) END, 5) + 0.0 AS sharpe FROM p")
 def trailing_sharpe(spark, sf_dir):
-    made = R.gated(F.col("r"), 63, lambda x, w: F.avg(x).over(w) / (F.stddev_pop(x).over(w) + 1e-12), "half")
+    made = R.gated(F.col("r"), 63, lambda t: t.mean / (t.sd(0) + 1e-12), "half")
     return tidy(panel_frame(spark, sf_dir).select("entity", "dt", made.alias("sharpe")), 5)

@@ -78,4 +78,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lodestar.plans import further, point_in_time, portfolios, sections, series, surfaces, tests_of_skill, warehouse  # noqa: F401
+    from lodestar.plans import baselines, further, inference, point_in_time, portfolios, sections, series, sourcing, surfaces, tests_of_skill, universes, warehouse  # noqa: F401

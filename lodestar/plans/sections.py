@@ -140,10 +140,11 @@ def mask_overlap(spark, sf_dir):
     return tidy(S.jaccard(df, F.col("r") > 0, F.col("n") >= 2, ["entity"]), 8)
 
 
-@query("wide_and_back", f"{P} SELECT dt, 'px_' || entity AS field, ROUND(MAX(px / 7.1::DOUBLE), 6) AS value FROM p WHERE entity BETWEEN 1 AND 8 GROUP BY 1, 2")
+@query("wide_and_back", f"{P} SELECT dt, 'px_' || entity AS field, ROUND(MAX(px / 7.1::DOUBLE), 6) AS value FROM p GROUP BY 1, 2")
 def wide_and_back(spark, sf_dir):
-    df = panel_frame(spark, sf_dir).where(F.col("entity").between(1, 8)).withColumn("px", F.col("px") / 7.1)
-    table_ = S.wide(df, "dt", "entity", "px", list(range(1, 9)))
+    df = panel_frame(spark, sf_dir).withColumn("px", F.col("px") / 7.1)
+    names = [r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]  # a wide table's columns
+    table_ = S.wide(df, "dt", "entity", "px", names)
     return tidy(S.long(table_, ["dt"], [c for c in table_.columns if c != "dt"]))
 
 

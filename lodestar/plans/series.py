@@ -23,7 +23,7 @@ l AS (SELECT dt, label, CASE WHEN x IS NULL OR c < 10 THEN 0.0 WHEN rk > c - m T
 SELECT dt, ROUND(SUM(wt * COALESCE(label, 0.0)), 6) + 0.0 AS pnl, CAST(COUNT(*) FILTER (WHERE wt <> 0) AS BIGINT) AS names FROM l GROUP BY dt""")
 def flagship(spark, sf_dir):
     df = panel_frame(spark, sf_dir)
-    df = df.withColumns({"hv": R.volatility(F.col("r"), 21), "label": F.lead("r").over(PANEL.series)})
+    df = R.trailing(df.withColumn("label", F.lead("r").over(PANEL.series)), {"hv": R.Feature("sd", "r", 21, 10, scale=252**0.5)}, ["label"])
     return tidy(X.long_short(df, "hv", "label"))
 
 
@@ -39,9 +39,9 @@ def rolling_returns(spark, sf_dir):
 @query("rolling_volatility", f"""{P}, v AS (SELECT entity, dt, {HV21} AS hv21, {gate('STDDEV_SAMP(r)', 'r', 63, 31)} * SQRT(252.0) AS hv63, {gate('STDDEV_POP(r)', 'r', 252, 20, 1, False)} AS past FROM p)
 SELECT entity, dt, ROUND(hv21, 5) AS hv21, ROUND(hv63, 5) AS hv63, ROUND(past, 6) AS past, ROUND({gate('STDDEV_SAMP(hv21)', 'hv21', 21, 10)}, 5) AS vov FROM v""")
 def rolling_volatility(spark, sf_dir):
-    df = panel_frame(spark, sf_dir)
-    df = df.select("entity", "dt", R.volatility(F.col("r"), 21).alias("hv21"), R.volatility(F.col("r"), 63).alias("hv63"), R.past_volatility(F.col("r")).alias("past"))
-    return tidy(df.withColumn("vov", R.gated(F.col("hv21"), 21, lambda x, w: F.stddev_samp(x).over(w), "half")), 5, past=6)
+    year = 252**0.5
+    df = R.trailing(panel_frame(spark, sf_dir), {"hv21": R.Feature("sd", "r", 21, 10, scale=year), "hv63": R.Feature("sd", "r", 63, 31, scale=year), "past": R.Feature("sd", "r", 252, 20, ddof=0, full=False, shift=1)})
+    return tidy(R.trailing(df, {"vov": R.Feature("sd", "hv21", 21, 10)}, ["hv21", "hv63", "past"]), 5, past=6)
 
 
 @query("range_volatility", f"""{P}, d AS (SELECT *, POWER(LN(hi / lo), 2) / (4 * LN(2.0)) AS pk, 0.5 * POWER(LN(hi / lo), 2) - (2 * LN(2.0) - 1) * POWER(LN(px / op), 2) AS gk,
@@ -53,8 +53,8 @@ def range_volatility(spark, sf_dir):
     df = panel_frame(spark, sf_dir).withColumns({"pk": R.parkinson(h, l), "gk": R.garman_klass(o, h, l, c), "rs": R.rogers_satchell(o, h, l, c), "overnight": F.ln(ratio(o, F.lag("px").over(PANEL.series))), "intraday": F.ln(c / o)})
     mean = lambda x: R.gated(F.col(x), 21, R.mean, "half")
     yz = R.yang_zhang(F.col("overnight"), F.col("intraday"), F.col("rs"))
-    ready = F.count("overnight").over(PANEL.trailing(21)) >= 10
-    full = F.count(F.lit(1)).over(PANEL.trailing(21)) == 21
+    within = R.Trailing(F.col("overnight"), 21)
+    ready, full = within.n >= 10, within.full
     return tidy(df.select("entity", "dt", mean("pk").alias("parkinson"), mean("gk").alias("garman_klass"), mean("rs").alias("rogers_satchell"), F.when(ready & full, yz).alias("yang_zhang")), yang_zhang=4)
 
 
@@ -62,16 +62,15 @@ def range_volatility(spark, sf_dir):
 ROUND({gate('AVG(spread)', 'spread', 21, 21)}, 6) AS spread21, ROUND({gate('MAX(r)', 'r', 21, 1)}, 6) + 0.0 AS max21, ROUND({gate('MIN(r)', 'r', 21, 1)}, 6) + 0.0 AS min21 FROM p""")
 def liquidity_features(spark, sf_dir):
     df, r = panel_frame(spark, sf_dir), F.col("r")
-    return tidy(df.select("entity", "dt", (R.amihud(r, F.col("value")) * 1e6).alias("amihud"), R.gated(F.col("value"), 21, R.mean, "any").alias("adv"), R.gated(F.col("spread"), 21, R.mean).alias("spread21"), R.gated(r, 21, lambda x, w: F.max(x).over(w), "any").alias("max21"), R.gated(r, 21, lambda x, w: F.min(x).over(w), "any").alias("min21")), amihud=5, adv=2)
+    return tidy(df.select("entity", "dt", (R.amihud(r, F.col("value")) * 1e6).alias("amihud"), R.gated(F.col("value"), 21, R.mean, "any").alias("adv"), R.gated(F.col("spread"), 21, R.mean).alias("spread21"), R.extreme(r, 21).alias("max21"), R.extreme(r, 21, False).alias("min21")), amihud=5, adv=2)
 
 
 @query("power_moments", f"""{P}, s AS (SELECT entity, dt, COUNT(r) OVER w AS c, COUNT(*) OVER w AS rows, SUM(r) OVER w AS t1, SUM(r*r) OVER w AS t2, SUM(r*r*r) OVER w AS t3, SUM(r*r*r*r) OVER w AS t4, STDDEV_SAMP(r) OVER w AS sd FROM p WINDOW w AS {win(63)}),
 m AS (SELECT *, t1 / c AS s1, t2 / c AS s2, t3 / c AS s3, t4 / c AS s4 FROM s WHERE c > 0)
 SELECT entity, dt, CASE WHEN c = 63 AND rows = 63 AND sd > 1e-12 THEN ROUND((s3 - 3*s1*s2 + 2*s1*s1*s1) / POWER(sd, 3), 4) + 0.0 END AS skew, CASE WHEN c = 63 AND rows = 63 AND sd > 1e-12 THEN ROUND((s4 - 4*s1*s3 + 6*s1*s1*s2 - 3*s1*s1*s1*s1) / POWER(sd, 4), 4) END AS kurt FROM m""")
 def power_moments(spark, sf_dir):
-    skew, kurt = R.power_moments(F.col("r"), 63)
-    some = F.count("r").over(PANEL.trailing(63))
-    return tidy(panel_frame(spark, sf_dir).select("entity", "dt", skew.alias("skew"), kurt.alias("kurt"), some.alias("c")).where("c > 0").drop("c"), 4)
+    df = R.trailing(panel_frame(spark, sf_dir), {"skew": R.Feature("skew", "r", 63, 63), "kurt": R.Feature("kurt", "r", 63, 63), "some": R.Feature("mean", "r", 63, 1, full=False)})
+    return tidy(df.where("some is not null").drop("some"), 4)
 
 
 @query("betas", f"""{P}, k AS (SELECT entity, dt, r, AVG(r) OVER (PARTITION BY dt) AS m FROM p), b AS (SELECT entity, dt, CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN r END AS x, CASE WHEN r IS NOT NULL THEN m END AS y FROM k),
@@ -80,7 +79,9 @@ f AS (SELECT entity, dt, CASE WHEN COUNT(x) OVER w >= 21 THEN COVAR_SAMP(x, y) O
 SELECT entity, dt, ROUND(beta, 4) + 0.0 AS beta, ROUND(asym, 3) + 0.0 AS asym FROM f""")
 def betas(spark, sf_dir):
     df = panel_frame(spark, sf_dir).withColumn("m", F.avg("r").over(PANEL.section))
-    return tidy(df.select("entity", "dt", R.beta(F.col("r"), F.col("m")).alias("beta"), R.asymmetric_beta(F.col("r"), F.col("m")).alias("asym")), 4, asym=3)
+    side = lambda k: R.Feature("beta", "r", 63, 5, "m", full=False, side=k)
+    made = R.trailing(df, {"beta": R.Feature("beta", "r", 63, 21, "m", full=False), "down": side(-1), "up": side(1)})
+    return tidy(made.select("entity", "dt", "beta", (F.col("down") - F.col("up")).alias("asym")), 4, asym=3)
 
 
 @query("time_series_z", f"""{P} SELECT entity, dt, CASE WHEN COUNT(px) OVER {win(252)} >= 50 AND STDDEV_POP(px) OVER {win(252)} >= 1e-12 THEN ROUND((px - AVG(px) OVER {win(252)}) / STDDEV_POP(px) OVER {win(252)}, 5) + 0.0 END AS z252,
@@ -91,7 +92,8 @@ def time_series_z(spark, sf_dir):
 
 @query("history_ranks", f"""{P} SELECT entity, dt, px > QUANTILE_CONT(px, 0.9) OVER {E} AS above, ROUND((px - MIN(px) OVER {win(63)}) / NULLIF(MAX(px) OVER {win(63)} - MIN(px) OVER {win(63)}, 0), 6) AS place FROM p""")
 def history_ranks(spark, sf_dir):
-    return tidy(panel_frame(spark, sf_dir).select("entity", "dt", R.expanding_quantile_flag(F.col("px"), 0.9).alias("above"), R.rank_in_history(F.col("px"), 63).alias("place")))
+    marked = R.expanding_quantile(panel_frame(spark, sf_dir), "px", 0.9)
+    return tidy(marked.select("entity", "dt", (F.col("px") > F.col("threshold")).alias("above"), R.rank_in_history(F.col("px"), 63).alias("place")))
 
 
 @query("entity_drawdown", f"""{P}, c AS (SELECT entity, dt, SUM(COALESCE(r, 0)) OVER {E} AS cum FROM p) SELECT entity, dt, ROUND(cum - MAX(cum) OVER {E}, 5) + 0.0 AS drawdown FROM c""")

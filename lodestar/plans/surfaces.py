@@ -33,16 +33,83 @@ def nearest_node(spark, sf_dir):
     return tidy(df.groupBy("entity").agg(U.nearest("vol", "delta", 4.4, tie="tie").alias("vol")), 8)
 
 
-_CH = "c AS (SELECT l_suppkey AS entity, CAST(l_quantity AS INT) + 60.0 AS strike, AVG(l_extendedprice) / 1e5 AS price FROM lineitem GROUP BY 1, 2), w AS (SELECT *, 85.0 AS fwd, CASE WHEN strike <= 85 THEN LN(85 / strike) ELSE LN(strike / 85) END AS x, strike <= 85 AS below FROM c), y AS (SELECT *, price * CASE WHEN below THEN 2 * (1 + x) ELSE 2 * (1 - x) END / (strike * strike) AS v, price * CASE WHEN below THEN -(6 * x + 3 * x * x) ELSE 6 * x - 3 * x * x END / (strike * strike) AS w, price * CASE WHEN below THEN 12 * x * x + 4 * x * x * x ELSE 12 * x * x - 4 * x * x * x END / (strike * strike) AS q, price / (85.0 * 85.0) AS s FROM w)"
-_TZ = "t AS (SELECT entity, " + ", ".join(f"(LEAD(strike) OVER o - strike) * ({c} + LEAD({c}) OVER o) / 2 AS {c}" for c in "vwqs") + " FROM y WINDOW o AS (PARTITION BY entity, below ORDER BY strike)), i AS (SELECT entity, SUM(v) AS v, SUM(w) AS w, SUM(q) AS x, SUM(s) AS s, COUNT(*) AS points FROM t GROUP BY 1)"
+_CH = "c AS (SELECT l_suppkey AS entity, CAST(l_quantity AS INT) + 60.0 AS strike, AVG(l_extendedprice) / 1e5 AS price FROM lineitem GROUP BY 1, 2)"
 
 
-@query("model_free_moments", f"""WITH {_CH}, {_TZ}, m AS (SELECT *, EXP(0.0005) AS e, EXP(0.0005) - 1 - EXP(0.0005) * (v / 2 + w / 6 + x / 24) AS mu FROM i), b AS (SELECT *, e * v - mu * mu AS var FROM m)
-SELECT entity, points, ROUND(CASE WHEN points >= 4 AND var > 0 THEN var / 0.05 END, 7) AS mfiv, ROUND(CASE WHEN points >= 4 AND var > 0 THEN (e * w - 3 * mu * e * v + 2 * mu * mu * mu) / POWER(var, 1.5) END, 5) + 0.0 AS mfis, ROUND(CASE WHEN points >= 4 AND var > 0 THEN (e * x - 4 * mu * e * w + 6 * mu * mu * e * v - 3 * mu * mu * mu * mu) / (var * var) - 3 END, 4) + 0.0 AS mfik, ROUND(CASE WHEN points >= 5 THEN 2 * e / 0.05 * s END, 7) AS svix FROM b""")
+def _integrals(source: str, keys: str, outside: str, below: str) -> str:
+    """SQL of the integrals over the rows of ``source`` (strike, price, fwd) that lie outside."""
+    x = f"CASE WHEN {below} THEN LN(fwd / strike) ELSE LN(strike / fwd) END"
+    return f"""o_{source} AS (SELECT *, {below} AS below, {x} AS x FROM {source} WHERE {outside}), y_{source} AS (SELECT *, price * CASE WHEN below THEN 2 * (1 + x) ELSE 2 * (1 - x) END / (strike * strike) AS v, price * CASE WHEN below THEN -(6 * x + 3 * x * x) ELSE 6 * x - 3 * x * x END / (strike * strike) AS w, price * CASE WHEN below THEN 12 * x * x + 4 * x * x * x ELSE 12 * x * x - 4 * x * x * x END / (strike * strike) AS q FROM o_{source}),
+t_{source} AS (SELECT {keys}, """ + ", ".join(f"(LEAD(strike) OVER o - strike) * ({c} + LEAD({c}) OVER o) / 2 AS {c}" for c in "vwq") + f""" FROM y_{source} WINDOW o AS (PARTITION BY {keys}, below ORDER BY strike, price)), i_{source} AS (SELECT {keys}, CASE WHEN COUNT(*) >= 2 THEN COALESCE(SUM(v), 0) END AS v, CASE WHEN COUNT(*) >= 2 THEN COALESCE(SUM(w), 0) END AS w, CASE WHEN COUNT(*) >= 2 THEN COALESCE(SUM(q), 0) END AS x, COUNT(*) AS points FROM t_{source} GROUP BY {keys})"""
+
+
+def _moments(source: str, keys: str, years: str, rate: str) -> str:
+    """SQL of the moments of the integrals i_source: m_source (keys, points, mfiv, mfis, mfik)."""
+    return f"""e_{source} AS (SELECT *, EXP({rate} * {years}) AS e, EXP({rate} * {years}) - 1 - EXP({rate} * {years}) * (v / 2 + w / 6 + x / 24) AS mu FROM i_{source}), b_{source} AS (SELECT *, e * v - mu * mu AS var FROM e_{source}),
+m_{source} AS (SELECT {keys}, points, CASE WHEN v > 0 AND var > 0 THEN var / {years} END AS mfiv, CASE WHEN v > 0 AND var > 0 THEN (e * w - 3 * mu * e * v + 2 * mu * mu * mu) / POWER(var, 1.5) END AS mfis, CASE WHEN v > 0 AND var > 0 THEN (e * x - 4 * mu * e * w + 6 * mu * mu * e * v - 3 * mu * mu * mu * mu) / (var * var) - 3 END AS mfik FROM b_{source})"""
+
+
+@query("model_free_moments", f"""WITH {_CH}, cc AS (SELECT *, 85.0 AS fwd FROM c), {_integrals('cc', 'entity', 'strike <> 85', 'strike < 85')}, {_moments('cc', 'entity', '0.05', '0.01')},
+sv AS (SELECT entity, (LEAD(strike) OVER o - strike) * (2 * price / (strike * strike) + LEAD(2 * price / (strike * strike)) OVER o) / 2 AS a FROM c WHERE strike <> 85 WINDOW o AS (PARTITION BY entity ORDER BY strike)), ss AS (SELECT entity, CASE WHEN COUNT(*) >= 5 THEN SUM(a) END AS svix2 FROM sv GROUP BY 1)
+SELECT entity, points, ROUND(mfiv, 7) AS mfiv, ROUND(mfis, 5) + 0.0 AS mfis, ROUND(mfik, 4) + 0.0 AS mfik, ROUND(svix2, 7) AS svix2 FROM m_cc JOIN ss USING (entity)""")
 def model_free_moments(spark, sf_dir):
     chain = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), (F.col("l_quantity").cast("int") + 60.0).alias("strike")).agg((F.avg("l_extendedprice") / 1e5).alias("price")).withColumn("fwd", F.lit(85.0))
     made = U.moments(U.contract_integrals(chain, ["entity"], "strike", "price", "fwd"), F.lit(0.05), F.lit(0.01))
-    return tidy(made.select("entity", "points", "mfiv", "mfis", "mfik", "svix"), 7, mfis=5, mfik=4)
+    flagged = chain.withColumn("flag", F.when(F.col("strike") < 85, "P").otherwise("C"))
+    both = made.join(U.squared_svix(flagged, ["entity"], "strike", "price", "fwd", "flag"), "entity")
+    return tidy(both.select("entity", "points", "mfiv", "mfis", "mfik", "svix2"), 7, mfis=5, mfik=4)
+
+
+_DAYS = "CASE l_linenumber WHEN 3 THEN 60 WHEN 4 THEN 91 WHEN 5 THEN 365 WHEN 6 THEN 365 ELSE 30 END"
+_GRID = f"""g AS (SELECT l_suppkey % 20 AS entity, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS dt, {_DAYS} AS days, (20 + 5 * (l_partkey % 13)) * CASE WHEN l_returnflag = 'A' THEN 1 ELSE -1 END AS delta, CASE WHEN l_returnflag = 'A' THEN 'C' ELSE 'P' END AS cp, 0.1 + AVG(l_tax) AS vol, 60 + AVG(l_quantity) + CASE WHEN MIN(l_returnflag) = 'A' THEN 12 ELSE -12 END AS strike, AVG(l_extendedprice) / 1e4 AS price, AVG(l_discount) AS disp FROM lineitem GROUP BY 1, 2, 3, 4, 5),
+ax AS (SELECT entity, dt, AVG(vol) * 1.1 AS hv, SUM(price) AS ov, COUNT(*) * 3.0 AS ev, AVG(disp) AS bo FROM g GROUP BY 1, 2)"""
+
+
+def _grid(spark, sf_dir):
+    l, c = table(spark, sf_dir, "lineitem"), F.col
+    n, call = c("l_linenumber"), c("l_returnflag") == "A"
+    days = F.when(n == 3, 60).when(n == 4, 91).when(n.isin(5, 6), 365).otherwise(30)
+    key = [(c("l_suppkey") % 20).alias("entity"), F.trunc("l_shipdate", "month").alias("dt"), days.alias("days"), ((20 + 5 * (c("l_partkey") % 13)) * F.when(call, 1).otherwise(-1)).alias("delta"), F.when(call, "call").otherwise("put").alias("cp_flag")]
+    g = l.groupBy(*key).agg((0.1 + F.avg("l_tax")).alias("impl_volatility"), F.avg("l_quantity").alias("q"), (F.avg("l_extendedprice") / 1e4).alias("impl_premium"), F.avg("l_discount").alias("dispersion"))
+    g = g.withColumn("impl_strike", 60 + c("q") + F.when(c("cp_flag") == "call", 12.0).otherwise(-12.0)).drop("q")
+    ax = g.groupBy("entity", "dt").agg((F.avg("impl_volatility") * 1.1).alias("hv"), F.sum("impl_premium").alias("ov"), (F.count(F.lit(1)) * 3.0).alias("ev"), F.avg("dispersion").alias("bo"))
+    return g.join(ax, ["entity", "dt"])
+
+
+def _nd(t: int, d: int, f: str) -> str:
+    return f"MAX(CASE WHEN days = {t} AND delta = {d if f == 'C' else -d} AND cp = '{f}' AND vol > 0 THEN vol END)"
+
+
+def _nearest(d: int) -> str:
+    return f"COALESCE({_nd(30, d, 'C')}, ARG_MIN(vol, ABS(delta - {d}) * 1000 + delta) FILTER (WHERE days = 30 AND cp = 'C' AND vol > 0))"
+
+
+_PAIRS = [f"({_nd(t, d, 'C')} - {_nd(t, d, 'P')})" for t in (30, 60, 91) for d in (20, 25, 30, 40, 50)]
+_MEAN = f"({' + '.join(f'COALESCE({x}, 0)' for x in _PAIRS)}) / NULLIF({' + '.join(f'({x} IS NOT NULL)::INT' for x in _PAIRS)}, 0)"
+_FIRST = f"""ag AS (SELECT entity, dt, {_nd(30, 20, 'P')} - {_nd(30, 50, 'C')} AS iv_skew, {_nd(365, 50, 'C')} - {_nd(30, 50, 'C')} AS iv_term_slope, COALESCE({_nearest(25)}, {_nearest(20)}) + COALESCE({_nearest(75)}, {_nearest(80)}) - 2 * {_nd(30, 50, 'C')} AS iv_convexity, {_MEAN} AS vol_spread,
+(COALESCE({_nd(30, 50, 'C')}, 0) + COALESCE({_nd(30, 50, 'P')}, 0)) / NULLIF(({_nd(30, 50, 'C')} IS NOT NULL)::INT + ({_nd(30, 50, 'P')} IS NOT NULL)::INT, 0) AS atm, {_nd(30, 50, 'C')} AS atm_call, {_nd(30, 50, 'P')} AS atm_put, AVG(CASE WHEN vol > 0 THEN disp END) AS dispersion, COUNT(*) FILTER (WHERE vol > 0) / 374.0::DOUBLE AS quality,
+COALESCE(MEDIAN(CASE WHEN days = 30 AND ABS(delta) = 50 THEN strike END), MEDIAN(strike)) AS spot FROM g GROUP BY 1, 2)"""
+
+
+def _chain(tenor: int) -> str:
+    n = f"c{tenor}"
+    out = "(cp = 'P' AND strike < fwd OR cp = 'C' AND strike > fwd)"
+    return f"""a{tenor} AS (SELECT entity, dt, cp, strike, price, spot, spot AS fwd, COUNT(*) OVER (PARTITION BY entity, dt) AS al FROM g JOIN ag USING (entity, dt) WHERE days = {tenor} AND strike > 0 AND price >= 0 AND spot > 0), {n} AS (SELECT * FROM a{tenor} WHERE al >= 4), {_integrals(n, 'entity, dt', out, 'strike < fwd')}, {_moments(n, 'entity, dt', f'({tenor} / 365.0::DOUBLE)', '0.0')}"""
+
+
+_NAMES = ("iv_skew", "iv_term_slope", "iv_convexity", "vol_spread", "dispersion", "quality", "mfiv_near", "mfis_near", "mfik_near", "mfiv_far", "mfis_far", "mfik_far", "svix2", "vmp", "vrp", "rns_term_spread", "os_ratio", "borrow_rate", "mw_xs", "d_iv_call", "d_iv_put", "d_iv_term_slope_5", "d_iv_skew_5")
+#: Means of hundredths are scaled off rounding ties.
+_OFF = {n: " / 7.1::DOUBLE" for n in ("dispersion", "borrow_rate", "os_ratio", "vol_spread", "quality", "iv_skew", "iv_term_slope", "iv_convexity", "d_iv_call", "d_iv_put", "d_iv_term_slope_5", "d_iv_skew_5")}
+_PLACES = {n: 3 for n in ("mfis_near", "mfis_far", "rns_term_spread", "mfik_near", "mfik_far")}
+
+
+@query("surface_signal_panel", f"""WITH {_GRID}, {_FIRST}, {_chain(30)}, {_chain(365)}, sv AS (SELECT entity, dt, (LEAD(strike) OVER o - strike) * (2 * price / (strike * strike) + LEAD(2 * price / (strike * strike)) OVER o) / 2 AS a FROM c30 WHERE cp = 'P' AND strike < spot OR cp = 'C' AND strike > spot WINDOW o AS (PARTITION BY entity, dt ORDER BY strike, cp, price)),
+ss AS (SELECT entity, dt, CASE WHEN COUNT(*) >= 5 AND SUM(a) >= 0 THEN SUM(a) END AS svix2 FROM sv GROUP BY 1, 2), j AS (SELECT ag.*, n.mfiv AS mfiv_near, n.mfis AS mfis_near, n.mfik AS mfik_near, f.mfiv AS mfiv_far, f.mfis AS mfis_far, f.mfik AS mfik_far, svix2, CASE WHEN hv > 0 AND atm > 0 THEN LN(hv) - LN(atm) END AS vmp, n.mfiv - hv AS vrp, f.mfis - n.mfis AS rns_term_spread, CASE WHEN ev > 0 THEN ov / ev END AS os_ratio, bo AS borrow_rate FROM ag JOIN ax USING (entity, dt) LEFT JOIN m_c30 n USING (entity, dt) LEFT JOIN m_c365 f USING (entity, dt) LEFT JOIN ss USING (entity, dt)),
+z AS (SELECT *, 0.5 * (svix2 - AVG(svix2) OVER (PARTITION BY dt)) AS mw_xs, atm_call - LAG(atm_call) OVER o AS d_iv_call, atm_put - LAG(atm_put) OVER o AS d_iv_put, iv_term_slope - LAG(iv_term_slope, 5) OVER o AS d_iv_term_slope_5, iv_skew - LAG(iv_skew, 5) OVER o AS d_iv_skew_5 FROM j WINDOW o AS (PARTITION BY entity ORDER BY dt))
+SELECT entity, dt, {', '.join(f'ROUND({n}{_OFF.get(n, "")}, {_PLACES.get(n, 6)}) + 0.0 AS {n}' for n in _NAMES)} FROM z""")
+def surface_signal_panel(spark, sf_dir):
+    made = U.surface_signals(_grid(spark, sf_dir), "entity", "dt", hv="hv", option_volume="ov", equity_volume="ev", borrow="bo")
+    return tidy(made.select("entity", "dt", *((F.col(n) / 7.1 if n in _OFF else F.col(n)).alias(n) for n in _NAMES)), 6, **_PLACES)
 
 
 @query("surface_image", f"""WITH {_SURF}, g AS (SELECT entity, days, delta, MAX(vol) AS vol FROM s GROUP BY 1, 2, 3) SELECT entity, ROUND(SUM(vol), 5) AS total, CAST(COUNT(vol) AS BIGINT) AS filled FROM g WHERE days BETWEEN 1 AND 11 AND delta BETWEEN 0 AND 9 GROUP BY 1""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.operators import experts as X
 from lodestar.operators import statistics as Z
 from lodestar.operators import validation as V
 from lodestar.panel import PANEL
@@ -75,14 +76,12 @@ def false_discovery(spark, sf_dir):
     return tidy(Z.false_discovery(p, "pv", 0.06), 8)
 
 
-@query("overfitting_probability", f"""{P}, f AS (SELECT entity, dt, r, CAST(FLOOR((DENSE_RANK() OVER (ORDER BY dt) - 1) * 8.0 / (SELECT COUNT(DISTINCT dt) FROM p WHERE entity <= 20)) AS INT) AS b FROM p WHERE entity <= 20), b AS (SELECT entity, b, COUNT(r) AS c, SUM(r) AS s, SUM(r * r) AS q FROM f GROUP BY 1, 2),
+@query("overfitting_probability", f"""{P}, f AS (SELECT entity, dt, r, CAST(FLOOR((DENSE_RANK() OVER (ORDER BY dt) - 1) * 8.0 / (SELECT COUNT(DISTINCT dt) FROM p)) AS INT) AS b FROM p), b AS (SELECT entity, b, COUNT(r) AS c, SUM(r) AS s, SUM(r * r) AS q FROM f GROUP BY 1, 2),
 masks AS (SELECT i, k FROM generate_series(0, 255) a(i), generate_series(0, 7) c(k) WHERE bit_count(i::INT) = 4), all_ AS (SELECT i, k, (i >> k) & 1 = 1 AS inside FROM masks),
 t AS (SELECT i, entity, inside, SUM(c) AS c, SUM(s) AS s, SUM(q) AS q FROM b JOIN all_ ON b = k GROUP BY 1, 2, 3), h AS (SELECT i, entity, inside, s / c / (SQRT(GREATEST(q / c - (s / c) * (s / c), 0)) + 1e-12) AS sr FROM t), o AS (SELECT i, entity, MAX(CASE WHEN inside THEN sr END) AS ins, MAX(CASE WHEN NOT inside THEN sr END) AS outs FROM h GROUP BY 1, 2),
 k AS (SELECT i, ROW_NUMBER() OVER (PARTITION BY i ORDER BY ins DESC, entity) AS best, ROW_NUMBER() OVER (PARTITION BY i ORDER BY outs, entity) / (COUNT(*) OVER (PARTITION BY i) + 1.0) AS w FROM o) SELECT ROUND(AVG(CASE WHEN w < 0.5 THEN 1.0 ELSE 0.0 END), 8) AS pbo, COUNT(*) AS combos FROM k WHERE best = 1""")
 def overfitting_probability(spark, sf_dir):
-    df = panel_frame(spark, sf_dir)
-    few = df.where("entity <= 20")
-    return tidy(Z.overfitting_probability(few, "r", "dt", "entity"), 8)
+    return tidy(Z.overfitting_probability(panel_frame(spark, sf_dir), "r", "dt", "entity"), 8)
 
 
 @query("signed_rank", f"""{P}, z AS (SELECT entity, r, ABS(r) AS a FROM p WHERE r <> 0), k AS (SELECT *, RANK() OVER (PARTITION BY entity ORDER BY a) + (COUNT(*) OVER (PARTITION BY entity, a) - 1) / 2.0 AS rk FROM z), s AS (SELECT entity, SUM(CASE WHEN r > 0 THEN rk ELSE 0.0 END) AS w_plus, COUNT(*) AS n FROM k GROUP BY 1) SELECT entity, ROUND(w_plus, 2) AS w_plus, n, ROUND((w_plus - n * (n + 1) / 4.0) / SQRT(n * (n + 1) * (2 * n + 1) / 24.0), 6) + 0.0 AS z FROM s""")
@@ -131,25 +130,77 @@ def _mixed(method: str):
     return run
 
 
-for _method in ("adahedge", "hedge", "fixed_share", "variable_share", "page_hinkley"):
+for _method in ("adahedge", "fixed_share", "variable_share", "page_hinkley", "boa"):
     query(f"experts_{_method}")(_mixed(_method))
 
 
+_XU = f"{_X}, d AS (SELECT dt, MIN(loss) AS l, MAX(loss) AS h FROM x GROUP BY 1), q AS (SELECT dt, MIN(l) OVER w AS l, MAX(h) OVER w AS h FROM d WINDOW w AS (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), u AS (SELECT expert, dt, COALESCE(CASE WHEN h > l THEN LEAST(GREATEST((loss - l) / (h - l), 0.0), 1.0) END, 0.5) AS unit_loss FROM x JOIN q USING (dt))"
+query("experts_hedge", f"WITH {_XU}, c AS (SELECT expert, dt, EXP(-0.5 * COALESCE(SUM(unit_loss) OVER (PARTITION BY expert ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM u) SELECT expert, dt, ROUND(e / SUM(e) OVER (PARTITION BY dt), 6) AS weight FROM c")(_mixed("hedge"))
+
+
 @query("garch_variance", f"""{P}, a AS (SELECT entity, COUNT(*) AS n, LIST(r ORDER BY dt) AS s FROM p WHERE r IS NOT NULL GROUP BY 1) SELECT entity, CAST(n AS INT) AS n, ROUND(list_reduce(list_prepend(s[1] * s[1], s), lambda h, x: 1e-6 + 0.05 * x * x + 0.9 * h), 8) AS variance FROM a""")
 def garch_variance(spark, sf_dir):
     return tidy(Z.garch(panel_frame(spark, sf_dir), "r", "dt", "entity"), 8)
 
 
-def _few(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where("s_suppkey <= 25").select(F.col("s_suppkey").alias("entity"))
-
-
-@query("pairwise_correlation", f"{P}, f AS (SELECT entity, dt, r FROM p WHERE entity <= 25 AND r IS NOT NULL) SELECT a.entity AS a, b.entity AS b, ROUND(CORR(a.r, b.r), 6) + 0.0 AS corr, COUNT(*) AS n FROM f a JOIN f b ON a.dt = b.dt AND a.entity < b.entity GROUP BY 1, 2")
+@query("pairwise_correlation", f"{P}, f AS (SELECT entity, dt, r FROM p WHERE r IS NOT NULL) SELECT a.entity AS a, b.entity AS b, ROUND(CORR(a.r, b.r), 6) + 0.0 AS corr, COUNT(*) AS n FROM f a JOIN f b ON a.dt = b.dt AND a.entity < b.entity GROUP BY 1, 2")
 def pairwise_correlation(spark, sf_dir):
-    return tidy(Z.pairwise_correlation(panel_frame(spark, sf_dir), "r", "dt", "entity", _few(spark, sf_dir)))
+    return tidy(Z.pairwise_correlation(panel_frame(spark, sf_dir), "r", "dt", "entity"))
 
 
-@query("tail_dependence", f"""{P}, f AS (SELECT entity, dt, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY r, dt) / (COUNT(*) OVER (PARTITION BY entity) + 1.0) AS u FROM p WHERE entity <= 25 AND r IS NOT NULL), h AS (SELECT entity, dt FROM f WHERE u > 0.9), c AS (SELECT entity, COUNT(*) AS c FROM h GROUP BY 1), j AS (SELECT a.entity AS a, b.entity AS b, COUNT(*) AS both_ FROM h a JOIN h b ON a.dt = b.dt AND a.entity < b.entity GROUP BY 1, 2)
+@query("tail_dependence", f"""{P}, f AS (SELECT entity, dt, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY r, dt) / (COUNT(*) OVER (PARTITION BY entity) + 1.0) AS u FROM p WHERE r IS NOT NULL), h AS (SELECT entity, dt FROM f WHERE u > 0.9), c AS (SELECT entity, COUNT(*) AS c FROM h GROUP BY 1), j AS (SELECT a.entity AS a, b.entity AS b, COUNT(*) AS both_ FROM h a JOIN h b ON a.dt = b.dt AND a.entity < b.entity GROUP BY 1, 2)
 SELECT a, b, both_ AS "both", ROUND((both_ / x.c::DOUBLE + both_ / y.c::DOUBLE) / 2, 8) AS tail_dependence FROM j JOIN c x ON x.entity = a JOIN c y ON y.entity = b""")
 def tail_dependence(spark, sf_dir):
-    return tidy(Z.tail_dependence(panel_frame(spark, sf_dir), "r", "dt", "entity", _few(spark, sf_dir)), 8)
+    return tidy(Z.tail_dependence(panel_frame(spark, sf_dir), "r", "dt", "entity"), 8)
+
+
+_XR = "xr AS (SELECT event_type AS expert, CAST(ts AS DATE) AS dt, AVG(value) / 1000 - 0.04 AS r FROM events GROUP BY 1, 2)"
+_W5 = "(PARTITION BY expert ORDER BY dt ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+_XS = f"{_XR}, xs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY expert ORDER BY dt) - 1 AS seen, CASE WHEN COUNT(r) OVER {_W5} >= 3 THEN CASE WHEN STDDEV_SAMP(r) OVER {_W5} <= 1e-15 THEN 0.0 ELSE AVG(r) OVER {_W5} / STDDEV_SAMP(r) OVER {_W5} * SQRT(252.0) END END AS score FROM xr)"
+
+
+def _returns(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("expert"), F.col("ts").cast("date").alias("dt")).agg((F.avg("value") / 1000 - 0.04).alias("r"))
+
+
+@query("rolling_leader", f"WITH {_XS}, u AS (SELECT *, CASE WHEN seen >= 5 THEN score END AS s FROM xs) SELECT dt, expert, ROUND(CASE WHEN COUNT(s) OVER (PARTITION BY dt) = 0 THEN 1.0 / COUNT(*) OVER (PARTITION BY dt) WHEN ROW_NUMBER() OVER (PARTITION BY dt ORDER BY s DESC NULLS LAST, expert) = 1 THEN 1.0 ELSE 0.0 END, 8) AS weight FROM u")
+def rolling_leader(spark, sf_dir):
+    return tidy(X.rolling_leader(_returns(spark, sf_dir), "r", "dt", "expert", 5, 3), 8)
+
+
+@query("held_leader", f"WITH {_XS}, u AS (SELECT *, CASE WHEN seen > 0 AND seen % 4 = 0 THEN score END AS s FROM xs), c AS (SELECT dt, expert, CASE WHEN seen > 0 AND seen % 4 = 0 THEN CASE WHEN COUNT(s) OVER (PARTITION BY dt) = 0 THEN 1.0 / COUNT(*) OVER (PARTITION BY dt) WHEN ROW_NUMBER() OVER (PARTITION BY dt ORDER BY s DESC NULLS LAST, expert) = 1 THEN 1.0 ELSE 0.0 END WHEN seen = 0 THEN 1.0 / COUNT(*) OVER (PARTITION BY dt) END AS w FROM u) SELECT dt, expert, ROUND(LAST_VALUE(w IGNORE NULLS) OVER (PARTITION BY expert ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS weight FROM c")
+def held_leader(spark, sf_dir):
+    return tidy(X.held_leader(_returns(spark, sf_dir), "r", "dt", "expert", 5, 4, 3), 8)
+
+
+def _named(spark, sf_dir):
+    return [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+
+
+@query("experts_flip_flop")
+def experts_flip_flop(spark, sf_dir):
+    losses = Z.unit_losses(_losses(spark, sf_dir), "loss", "dt", "expert")
+    return tidy(X.flip_flop(losses, "unit_loss", "dt", "expert", _named(spark, sf_dir)))
+
+
+@query("experts_hysteresis")
+def experts_hysteresis(spark, sf_dir):
+    names = _named(spark, sf_dir)
+    return tidy(X.hysteresis(_returns(spark, sf_dir), "r", "dt", "expert", names, names[0], 6, least=3))
+
+
+@query("experts_sleeping")
+def experts_sleeping(spark, sf_dir):
+    df = _returns(spark, sf_dir).withColumn("hot", F.dayofmonth("dt") % 3 == 0)
+    return tidy(X.sleeping_share(df, "r", "hot", "dt", "expert", _named(spark, sf_dir)))
+
+
+@query("experts_eg")
+def experts_eg(spark, sf_dir):
+    return tidy(Z.mix_experts(_returns(spark, sf_dir), "r", "dt", "expert", _named(spark, sf_dir), "eg", rate=0.05))
+
+
+@query("best_path", f"WITH {_X}, t AS (SELECT expert, SUM(loss) AS s FROM x GROUP BY 1), b AS (SELECT expert FROM t ORDER BY s, expert LIMIT 1) SELECT dt, expert, CASE WHEN expert = (SELECT expert FROM b) THEN 1.0::DOUBLE ELSE 0.0 END AS weight FROM x")
+def best_path(spark, sf_dir):
+    """Without a switch allowed it is the best single expert; paths with switches are tested against every path."""
+    return tidy(X.best_path(_losses(spark, sf_dir), "loss", "dt", "expert", _named(spark, sf_dir), 0))
