@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestar.operators.pit import asof_series
@@ -32,20 +32,23 @@ def continued(quotes: DataFrame, key: list[str], time: str, carried: list[str])
 def selected(cont: DataFrame, entity: str, time: str, tie: str, bands: Bands = Bands()) -> DataFrame:
     """One contract for each security and day: calls near the money first, then the delta closest to one half, then open interest."""
     near = (F.col("cp") == "C") & F.col("delta").between(bands.low_delta, bands.high_delta)
-    order = [F.when(near, 0).otherwise(1), F.abs(F.abs("delta") - 0.5), F.col("open_interest").desc_nulls_last(), F.col(tie)]
-    ok = F.col("delta").isNotNull() & F.col("dte").between(bands.least_days, bands.most_days)
-    return cont.where(ok).withColumn("__rn", F.row_number().over(Window.partitionBy(entity, time).orderBy(*order))).where("__rn = 1").drop("__rn")
+    ok = F.coalesce(F.col("delta").isNotNull() & F.col("dte").between(bands.least_days, bands.most_days), F.lit(False))
+    order = [F.when(ok, 0).otherwise(1), F.when(near, 0).otherwise(1), F.abs(F.abs("delta") - 0.5), F.col("open_interest").desc_nulls_last(), F.col(tie)]
+    return cont.withColumn("__rn", F.row_number().over(Window.partitionBy(entity, time).orderBy(*order))).where((F.col("__rn") == 1) & ok).drop("__rn")
 
 
-def flow(quotes: DataFrame, keys: list[str]) -> DataFrame:
-    """Skew at a quarter delta, volume imbalance and open-interest ratio, in one aggregate."""
+def flow(group: WindowSpec | None = None) -> dict[str, Column]:
+    """Skew at a quarter delta, volume imbalance and open-interest ratio: aggregates, or values over a window of a day's quotes."""
     put, call = F.col("cp") == "P", F.col("cp") == "C"
-    of = lambda c, x: F.sum(F.when(c, F.col(x)))
-    return quotes.groupBy(*keys).agg(
-        (F.avg(F.when(put & F.col("delta").between(-0.30, -0.20), F.col("iv"))) - F.avg(F.when(call & F.col("delta").between(0.20, 0.30), F.col("iv")))).alias("skew_25d"),
-        F.try_divide(of(call, "volume") - of(put, "volume"), F.nullif(of(call, "volume") + of(put, "volume"), F.lit(0.0))).alias("volume_imbalance"),
-        F.try_divide(of(put, "open_interest"), F.nullif(of(call, "open_interest"), F.lit(0.0))).alias("put_call_oi"),
-    )
+    over = (lambda c: c.over(group)) if group is not None else (lambda c: c)
+    of = lambda c, x: over(F.sum(F.when(c, F.col(x))))
+    iv = lambda c, low, high: over(F.avg(F.when(c & F.col("delta").between(low, high), F.col("iv"))))
+    total = of(call, "volume") + of(put, "volume")
+    return {
+        "skew_25d": iv(put, -0.30, -0.20) - iv(call, 0.20, 0.30),
+        "volume_imbalance": F.try_divide(of(call, "volume") - of(put, "volume"), F.nullif(total, F.lit(0.0))),
+        "put_call_oi": F.try_divide(of(put, "open_interest"), F.nullif(of(call, "open_interest"), F.lit(0.0))),
+    }
 
 
 def labels(marked: DataFrame, time: str, bands: Bands = Bands()) -> DataFrame:
@@ -68,6 +71,7 @@ def daily_marks(quotes: DataFrame, rates: DataFrame, screens: Screens, entity: s
     """The whole pipeline: screens, same-contract leads, selection, flow, risk-free rate as of the day, labels."""
     good = quotes.where(passes(screens))
     cont = continued(good, [entity, contract], time, ["mid", "spot", "adj"])
-    picked = selected(cont, entity, time, tie, bands)
-    joined = picked.join(flow(good, [entity, time]), [entity, time], "left")
-    return labels(asof_series(joined, rates.where("rf is not null"), time, ["rf"], time), time, bands)
+    # a day's flow and its best contract need the same rows together: one shuffle serves both
+    whole = cont.withColumns(flow(Window.partitionBy(entity, time)))
+    picked = selected(whole, entity, time, tie, bands)
+    return labels(asof_series(picked, rates.where("rf is not null"), time, ["rf"], time), time, bands)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -348,3 +349,74 @@ def reported_returns(df: DataFrame, adjusted: str, reported: str, first: int = 3
     implied = ratio(F.col(adjusted), F.lag(adjusted).over(panel.series)) - 1
     rows = df.withColumns({"__d": F.abs(implied - F.col(reported))}).where("__d is not null").withColumn("__i", F.row_number().over(panel.series)).where(F.col("__i") <= first)
     return rows.groupBy(panel.entity).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("__d") > tolerance).alias("off"), F.max("__d").alias("worst"))
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What a universe of k names has to look like."""
+
+    k: int = 30
+    quotas: tuple[tuple[str, int], ...] = (("trend", 5), ("reversal", 4), ("carry", 4), ("defensive", 5), ("lottery", 3), ("illiquid", 3), ("core", 6))
+    communities: int = 8
+    most_of_community: int = 8
+    adv_floor: float = 0.0
+    illiquid_share: float = 0.1
+    lottery_cap: float = 0.25
+    change_cap: float = 0.3
+    lookback: int = 252
+    transfer_floor: float = 0.0
+    most_pool: int = 2000
+
+
+def choose_universe(df: DataFrame, as_of: str, factors: list[str], beta: str, adv: str, illiquidity: str, signals: dict[str, str], r: str = "r", required: list[str] | None = None, spec: Spec = Spec(), project: Callable[[np.ndarray], np.ndarray] | None = None, incumbent: list | None = None, panel: Panel = PANEL) -> tuple[pd.DataFrame, list[tuple[str, int]]]:
+    """The universe of an as-of date, with its sleeves, communities and slots, and the names left after each stage.
+
+    Floors on volume, illiquidity and coverage, residuals on factors and style scores are DataFrames over the whole panel up
+    to the date. The pool that is left (``most_pool`` names at most, or it fails) comes to the driver as a row of scores and a
+    column of residuals a name, where communities, quotas, the lottery budget, the transfer gate with swaps, the cap on change
+    and packing choose one name after another.
+    """
+    until = F.lit(as_of).cast("date")
+    rows = df.where(F.col(panel.time) <= until)
+    stages = [("pool", rows.select(panel.entity).distinct().count())]
+
+    def narrowed(name: str, keep: DataFrame) -> DataFrame:
+        out = rows.join(keep.select(panel.entity), panel.entity, "left_semi")
+        stages.append((name, out.select(panel.entity).distinct().count()))
+        return out
+
+    medians = rows.groupBy(panel.entity).agg(F.percentile(adv, F.lit(0.5)).alias("m")).where(F.col("m") >= spec.adv_floor)
+    rows = narrowed("volume", medians)
+    rows = narrowed("illiquidity", less_illiquid(rows, illiquidity, spec.illiquid_share, panel))
+    rows = narrowed("coverage", eligible(rows, required or [r], until, 63, 5, panel=panel))
+    if stages[-1][1] < spec.k:
+        raise ValueError(f"{stages[-1][1]} names are left, {spec.k} are needed: {stages}")
+    if stages[-1][1] > spec.most_pool:
+        raise ValueError(f"{stages[-1][1]} names are left, at most {spec.most_pool}")
+    newest = Window.partitionBy(panel.entity).orderBy(F.desc(panel.time))
+    recent = residuals(rows, r, factors, panel).withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= spec.lookback)
+    scores = sleeve_scores(recent, "residual", beta, adv, signals, panel).toPandas().set_index(panel.entity).sort_index()
+    table = recent.select(panel.entity, panel.time, "residual").toPandas().pivot_table(index=panel.time, columns=panel.entity, values="residual", aggfunc="last").reindex(columns=scores.index)
+    label = average_linkage(_distance(table.to_numpy(float)), spec.communities) if len(scores) > 1 else np.zeros(len(scores), int)
+    community = dict(zip(scores.index, label.tolist(), strict=True))
+    primary, _, _ = fill_quotas(scores, dict(spec.quotas), community, spec.most_of_community, k=spec.k)
+    ranked = scores.sort_values("within_rank", ascending=False, kind="stable").index.tolist()
+    taken = Counter(community[n] for n in primary)
+    for n in ranked:  # quotas that couldn't be met are made up by rank
+        if len(primary) < spec.k and n not in primary and taken[community[n]] < spec.most_of_community:
+            primary[n] = "core"
+            taken[community[n]] += 1
+    if len(primary) < spec.k:
+        raise ValueError(f"{len(primary)} of {spec.k} names could be chosen: {spec.communities} communities of {spec.most_of_community} at most")
+    primary = trim_lottery(dict(list(primary.items())[: spec.k]), table, spec.lottery_cap, ranked)
+    if project is not None:
+        mean = table.mean().fillna(0.0)
+        passes = lambda chosen: transfer_coefficient(mean[list(chosen)].to_numpy(), project, spec.transfer_floor)[1]
+        primary, _ = repair(primary, scores["within_rank"].to_dict(), ranked, passes, community, spec.most_of_community)
+        if not passes(primary):
+            raise ValueError("the transfer gate isn't passed after swaps")
+    names = capped_change(incumbent, list(primary), spec.change_cap, scores["within_rank"].to_dict()) if incumbent else list(primary)
+    stages.append(("chosen", len(names)))
+    slots = packed(community, names)
+    out = pd.DataFrame({panel.entity: [n for n, _ in slots], "slot": range(len(slots)), "shard": [c for _, c in slots]})
+    return out.assign(sleeve=[primary.get(n, "core") for n in out[panel.entity]], community=[community.get(n, -1) for n in out[panel.entity]]), stages

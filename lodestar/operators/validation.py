@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +47,49 @@ def walk_forward(dates: DataFrame, folds: int = 5, share: float = 0.15, time: st
     start = n - block * (folds - F.col("fold"))
     role = F.when((F.col("idx") >= start) & (F.col("idx") < start + block), "test").when(F.col("idx") < start, "train")
     return crossed.select("fold", time, role.alias("role")).where("role is not null")
+
+
+def reselect_purge(dates: DataFrame, reselect: Column, radius: int = 21, time: str = "dt") -> DataFrame:
+    """(dt, idx, purged): dates no more than ``radius`` rows from one on which the universe is chosen anew."""
+    everything = Window.partitionBy(F.lit(0)).orderBy(time)  # a row for each date
+    near = F.max(F.coalesce(reselect, F.lit(False)).cast("int")).over(everything.rowsBetween(-radius, radius)) == 1
+    return dates.select(time, (F.row_number().over(everything) - 1).alias("idx"), near.alias("purged"))
+
+
+def reconstruct_paths(fold_pnl: DataFrame, dates: DataFrame, groups: int = 6, test: int = 2, pnl: str = "pnl", time: str = "dt") -> DataFrame:
+    """(path, dt, fold, pnl) of held-out profits (fold, dt, pnl): each path takes each group of dates from the fold assigned to it.
+
+    A date that its fold has no profit for is there with a null.
+    """
+    placed = grouped_dates(dates, groups, time).select(time, "group")
+    paths = cpcv_paths(groups, test, dates.sparkSession)
+    spine = placed.join(F.broadcast(paths), "group")
+    return spine.join(fold_pnl.select("fold", time, pnl), ["fold", time], "left").select("path", time, "fold", pnl)
+
+
+def path_sharpes(paths: DataFrame, pnl: str = "pnl", periods: int = 252) -> DataFrame:
+    """Per path: days, missing days, mean, and the annual Sharpe ratio (population deviation + 1e-12)."""
+    x = F.col(pnl)
+    return paths.groupBy("path").agg(F.count(x).alias("n_days"), F.count_if(x.isNull()).alias("n_missing"), F.avg(x).alias("mean_pnl"), (F.avg(x) / (F.stddev_pop(x) + 1e-12) * periods**0.5).alias("sharpe"))
+
+
+def summarise_paths(rated: DataFrame) -> DataFrame:
+    """One row: the distribution of the paths' Sharpe ratios."""
+    s = F.col("sharpe")
+    q = lambda p: F.percentile(s, F.lit(p))
+    return rated.agg(F.count(F.lit(1)).alias("n_paths"), F.avg(s).alias("sharpe_mean"), F.stddev_pop(s).alias("sharpe_std"), q(0.05).alias("sharpe_p05"), q(0.5).alias("sharpe_median"), q(0.95).alias("sharpe_p95"), F.avg((s > 0).cast("double")).alias("positive_path_rate"))
+
+
+def run_folds(df: DataFrame, folds: DataFrame, trainer: Callable, schema: str, time: str = "dt") -> DataFrame:
+    """Applies ``trainer(fold, train, test)`` (pandas frames in, one out with ``schema``) to every fold; folds run in parallel.
+
+    A fold's train and test rows are one task's.
+    """
+    rows = df.join(F.broadcast(folds.select("fold", time, "role")), time)
+
+    def run(pdf):
+        fold = int(pdf["fold"].iloc[0])
+        own = pdf.drop(columns=["fold", "role"])
+        return trainer(fold, own[pdf["role"] == "train"], own[pdf["role"] == "test"])
+
+    return rows.groupBy("fold").applyInPandas(run, schema)

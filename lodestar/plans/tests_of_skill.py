@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import experts as X
@@ -204,3 +205,42 @@ def experts_eg(spark, sf_dir):
 def best_path(spark, sf_dir):
     """Without a switch allowed it is the best single expert; paths with switches are tested against every path."""
     return tidy(X.best_path(_losses(spark, sf_dir), "loss", "dt", "expert", _named(spark, sf_dir), 0))
+
+
+def _fold_pnl(spark, sf_dir):
+    dates = panel_frame(spark, sf_dir).groupBy("dt").agg(F.avg("r").alias("mk"))
+    folds = V.cpcv_folds(dates.select("dt")).where("role = 'test'")
+    return folds.join(dates, "dt").select("fold", "dt", (F.col("mk") * (1 + F.col("fold") / 10)).alias("pnl")), dates.select("dt")
+
+
+_EDGE = "pe AS (SELECT g, CAST(FLOOR(g * n / 6.0) AS BIGINT) AS low, CAST(FLOOR((g + 1) * n / 6.0) AS BIGINT) - 1 AS high FROM (SELECT DISTINCT n FROM di), generate_series(0, 5) t(g)), pf AS (SELECT a.g AS g1, b.g AS g2, ROW_NUMBER() OVER (ORDER BY a.g, b.g) - 1 AS fold FROM pe a JOIN pe b ON a.g < b.g), pt AS (SELECT fold, g1 AS g FROM pf UNION ALL SELECT fold, g2 FROM pf), pa AS (SELECT g, fold, ROW_NUMBER() OVER (PARTITION BY g ORDER BY fold) - 1 AS path FROM pt)"
+_PATHS = f"{P}, dd AS (SELECT dt, AVG(r) AS mk FROM p GROUP BY 1), di AS (SELECT dt, mk, ROW_NUMBER() OVER (ORDER BY dt) - 1 AS idx, COUNT(*) OVER () AS n FROM dd), {_EDGE}, pp AS (SELECT path, dt, fold, mk * (1 + fold / 10.0::DOUBLE) AS pnl FROM di JOIN pe ON idx BETWEEN low AND high JOIN pa USING (g)), ps AS (SELECT path, COUNT(pnl) AS n_days, COUNT(*) FILTER (WHERE pnl IS NULL) AS n_missing, AVG(pnl) AS mean_pnl, AVG(pnl) / (STDDEV_POP(pnl) + 1e-12) * SQRT(252.0) AS sharpe FROM pp GROUP BY 1)"
+
+
+@query("path_sharpes", f"{_PATHS} SELECT CAST(path AS INT) AS path, n_days, n_missing, ROUND(mean_pnl, 6) + 0.0 AS mean_pnl, ROUND(sharpe, 5) + 0.0 AS sharpe FROM ps")
+def path_sharpes(spark, sf_dir):
+    pnl, dates = _fold_pnl(spark, sf_dir)
+    return tidy(V.path_sharpes(V.reconstruct_paths(pnl, dates)), 6, sharpe=5)
+
+
+@query("path_summary", f"{_PATHS} SELECT COUNT(*) AS n_paths, ROUND(AVG(sharpe), 5) + 0.0 AS sharpe_mean, ROUND(STDDEV_POP(sharpe), 5) AS sharpe_std, ROUND(QUANTILE_CONT(sharpe, 0.05), 5) + 0.0 AS sharpe_p05, ROUND(MEDIAN(sharpe), 5) + 0.0 AS sharpe_median, ROUND(QUANTILE_CONT(sharpe, 0.95), 5) + 0.0 AS sharpe_p95, ROUND(AVG(CAST(sharpe > 0 AS INT)), 8) AS positive_path_rate FROM ps")
+def path_summary(spark, sf_dir):
+    pnl, dates = _fold_pnl(spark, sf_dir)
+    return tidy(V.summarise_paths(V.path_sharpes(V.reconstruct_paths(pnl, dates))), 5, positive_path_rate=8)
+
+
+@query("reselect_purge", f"WITH {_D}, m AS (SELECT dt, idx, idx % 100 = 7 AS s FROM d) SELECT a.dt, CAST(a.idx AS INT) AS idx, BOOL_OR(b.s) AS purged FROM m a JOIN m b ON b.idx BETWEEN a.idx - 21 AND a.idx + 21 GROUP BY 1, 2")
+def reselect_purge(spark, sf_dir):
+    dates = _dates(spark, sf_dir).withColumn("i", F.row_number().over(Window.orderBy("dt")) - 1)
+    return V.reselect_purge(dates, F.col("i") % 100 == 7)
+
+
+@query("fold_runs", f"{P}, dd AS (SELECT dt, AVG(r) AS mk FROM p GROUP BY 1), di AS (SELECT dt, mk, ROW_NUMBER() OVER (ORDER BY dt) - 1 AS idx, COUNT(*) OVER () AS n FROM dd), b AS (SELECT *, GREATEST(10, ROUND(n * 0.15 / 5)) AS block FROM di), f AS (SELECT CAST(k AS BIGINT) AS fold, mk, CASE WHEN idx >= n - block * (5 - k) AND idx < n - block * (4 - k) THEN 'test' WHEN idx < n - block * (5 - k) THEN 'train' END AS role FROM b, generate_series(0, 4) t(k)) SELECT fold, COUNT(*) FILTER (WHERE role = 'train') AS n_train, COUNT(*) FILTER (WHERE role = 'test') AS n_test, ROUND(AVG(mk) FILTER (WHERE role = 'train'), 6) + 0.0 AS fitted, ROUND(AVG(mk) FILTER (WHERE role = 'test'), 6) + 0.0 AS scored FROM f GROUP BY 1")
+def fold_runs(spark, sf_dir):
+    import pandas as pd
+
+    def trainer(fold, train, test):
+        return pd.DataFrame({"fold": [fold], "n_train": [len(train)], "n_test": [len(test)], "fitted": [train.mk.mean()], "scored": [test.mk.mean()]})
+
+    daily = panel_frame(spark, sf_dir).groupBy("dt").agg(F.avg("r").alias("mk"))
+    return tidy(V.run_folds(daily, V.walk_forward(daily.select("dt")), trainer, "fold long, n_train long, n_test long, fitted double, scored double"))

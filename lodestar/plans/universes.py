@@ -234,3 +234,42 @@ def read_filled(spark, sf_dir):
 def wide_macro(spark, sf_dir):
     log = table(spark, sf_dir, "events").withColumn("a", F.date_add(F.col("ts").cast("date"), 2))
     return tidy(T.wide_macro(log, "event_type", "ts", "a", "value", ["click", "error"], "2024-01-05", "2024-02-10"))
+
+
+@query("state_filter")
+def state_filter(spark, sf_dir):
+    from lodestar.operators import latent
+
+    daily = panel_frame(spark, sf_dir).groupBy("dt").agg(F.avg("r").alias("x")).withColumn("k", F.lit(0))
+    return tidy(latent.state_filter(daily, "x", "dt", "k", 504, 63))
+
+
+@query("characteristic_residuals")
+def characteristic_residuals(spark, sf_dir):
+    from lodestar.operators import latent
+
+    df = panel_frame(spark, sf_dir).withColumn("one", F.lit(1.0))
+    chars = ["one", "spread", "disc"]
+    loadings, factors = latent.characteristic_factors(df, "r", chars, 2)
+    return tidy(latent.characteristic_residuals(df, "r", chars, loadings, factors).select("entity", "dt", "residual"), 5)
+
+
+@query("chosen_universe")
+def chosen_universe(spark, sf_dir):
+    df = panel_frame(spark, sf_dir)
+    df = df.withColumns({"mk": F.avg("r").over(PANEL.section), "illiq": F.abs("r") / F.col("value")})
+    n = df.select("entity").distinct().count()
+    spec = N.Spec(k=max(4, min(30, n // 3)), quotas=(("trend", 3), ("reversal", 2), ("carry", 2), ("defensive", 2), ("lottery", 1), ("illiquid", 1), ("core", 2)), most_of_community=max(8, n // 3))
+    made, _ = N.choose_universe(df, "2000-12-31", ["mk"], "spread", "value", "illiq", {"iv": "spread", "hv": "disc", "skew": "disc", "term": "spread", "skewness": "spread"}, spec=spec, project=lambda w: w * 0.5)
+    return spark.createDataFrame(made)
+
+
+@query("implied_volatilities")
+def implied_volatilities(spark, sf_dir):
+    from lodestar.functions import scalars
+    from lodestar.operators import latent
+
+    p = table(spark, sf_dir, "part")
+    s, years, call = F.col("p_retailprice"), F.col("p_size") / 365.0 + 0.1, F.col("p_partkey") % 2 == 0
+    price = scalars.greeks(s, F.lit(1000.0), years, F.lit(0.25), 0.02, call)["price"]
+    return tidy(p.select("p_partkey", latent.implied_volatility(price, s, F.lit(1000.0), years, F.lit(0.02), call).alias("vol")), 3)
