@@ -4,7 +4,7 @@ Counts, sums and means over trailing rows are differences of running sums, so th
 the window. Second and higher moments are not: after one outlier, a difference of running sums of squares would have lost
 the digits of all calmer windows. As columns they use moving frames, which Spark sums afresh for each row; ``trailing``
 computes any number of them for a series at once from matrices of windows, centred before they are squared, in one
-grouped map, which is several times faster.
+grouped map, which is several times faster from windows of about 60 rows on.
 
 Three gates decide when a trailing window of w rows has a value: ``full`` (w rows, all present), ``half`` (w rows, at least
 max(2, w // 2) present) and ``any`` (w rows, one present at least).
@@ -100,7 +100,8 @@ def _feature(f: Feature, v: dict[str, np.ndarray]) -> np.ndarray:
             ok, n = ok_all[part], ok_all[part].sum(1)
             mean = x_all[part].sum(1) / n
             d = (x_all[part] - mean[:, None]) * ok
-            var = (d * d).sum(1) / (n - f.ddof)
+            square = d * d
+            var = square.sum(1) / (n - f.ddof)
             if f.kind == "mean":
                 made = mean
             elif f.kind == "sd":
@@ -111,8 +112,8 @@ def _feature(f: Feature, v: dict[str, np.ndarray]) -> np.ndarray:
                 e = (y_all[part] - (y_all[part].sum(1) / n)[:, None]) * ok
                 made = (d * e).sum(1) / (e * e).sum(1)
             else:
-                power = {"skew": 3, "kurt": 4}[f.kind]
-                made = np.where(var > 1e-24, (d**power).sum(1) / n / var ** (power / 2), np.nan)
+                high = square * (d if f.kind == "skew" else square)
+                made = np.where(var > 1e-24, high.sum(1) / n / (var * np.sqrt(var) if f.kind == "skew" else var * var), np.nan)
             out[part] = np.where((n >= f.least) & (n > f.ddof * (f.kind != "mean")), made, np.nan)
     if f.full:
         out[: f.window - 1 + f.shift] = np.nan
