@@ -256,27 +256,35 @@ def variance_risk_premium(iv: Column, hv: Column) -> Column:
 def tail_asymmetry(df: DataFrame, r: str, market: str, window: int = 63, level: float = 0.95, least: int | None = None, name: str = "tail_asymmetry", panel: Panel = PANEL) -> DataFrame:
     """Adds upper less lower empirical tail dependence on the market over the trailing rows that have both.
 
-    Ranks are those within the window, by value and then by age. Each row carries its window's pairs as an array of at most
-    ``window`` entries.
+    Ranks are those within the window, by value and then by age; a series' windows are ranked together as matrices.
     """
     least = least or max(8, window // 3)
-    w = panel.trailing(window)
-    pair = F.when(F.col(r).isNotNull() & F.col(market).isNotNull(), F.struct(F.col(r).alias("y"), F.col(market).alias("m")))
-    held = df.withColumn("__w", F.collect_list(pair).over(w)).withColumn("__full", F.count(F.lit(1)).over(w) == window)
-    n = F.size("__w")
-
-    def ranks(field: str) -> Column:
-        """For each pair of the window, its rank by the field, counted from 1."""
-        order = F.array_sort(F.transform("__w", lambda x, i: F.struct(x[field].alias("v"), i.alias("i"))))
-        placed = F.map_from_arrays(F.transform(order, lambda x: x["i"]), F.sequence(F.lit(1), n))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(placed, i) / (n + 1)))
-
-    ranked = held.withColumn("__u", F.arrays_zip(ranks("y").alias("y"), ranks("m").alias("m")))
-    up = F.filter("__u", lambda x: x["y"] > level)
-    low = F.filter("__u", lambda x: x["y"] < 1 - level)
-    share = lambda a, keep: F.when(F.size(a) > 0, F.size(F.filter(a, keep)) / F.size(a))
-    value = share(up, lambda x: x["m"] > level) - share(low, lambda x: x["m"] < 1 - level)
-    return ranked.withColumn(name, F.when(F.col("__full") & (n >= least), value)).drop("__w", "__u", "__full")
+    kept = [c for c in df.columns if c not in (panel.entity, panel.time)]
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(panel.time)
+        y, m = pdf["__y"].to_numpy(float), pdf["__m"].to_numpy(float)
+        both = np.isfinite(y) & np.isfinite(m)
+        view = lambda a, fill: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(window - 1, fill), a]), window)
+        out, ok_all = np.full(len(y), np.nan), view(both, False)
+        y_all, m_all = view(np.where(both, y, np.inf), np.inf), view(np.where(both, m, np.inf), np.inf)
+        step = max(1, _ENTRIES // window)
+        rank = lambda a: np.argsort(np.argsort(a, axis=1, kind="stable"), axis=1, kind="stable") + 1
+        for low in range(0, len(y), step):
+            part = slice(low, low + step)
+            ok, n = ok_all[part], ok_all[part].sum(1)
+            u, v = rank(y_all[part]) / (n + 1)[:, None], rank(m_all[part]) / (n + 1)[:, None]
+            with np.errstate(all="ignore"):
+                up, down = ok & (u > level), ok & (u < 1 - level)
+                value = (up & (v > level)).sum(1) / up.sum(1) - (down & (v < 1 - level)).sum(1) / down.sum(1)
+            out[part] = np.where(n >= least, value, np.nan)
+        out[: window - 1] = np.nan
+        return pdf.drop(columns=["__y", "__m"]).assign(**{name: out})[[panel.entity, panel.time, *kept, name]]
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (panel.entity, panel.time, *kept)] + [f"`{name}` double"])
+    found = df.withColumns({"__y": F.col(r).cast("double"), "__m": F.col(market).cast("double")}).groupBy(panel.entity).applyInPandas(made, schema)
+    return found.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
 
 
 def expanding_z(x: Column, least: int = 2, bound: float = 3.0, panel: Panel = PANEL, warm_up: int = 0) -> Column:

@@ -14,6 +14,18 @@ def tfidf(df: DataFrame, text: str, features: int = 1 << 12) -> DataFrame:
     return IDF(inputCol="__tf", outputCol="tfidf", minDocFreq=2).fit(counts).transform(counts).drop("__text", "__words", "__tf")
 
 
+def embedded(df: DataFrame, text: str, size: int = 16, features: int = 1 << 10) -> DataFrame:
+    """Adds ``embedding``: the ``size`` leading principal components of hashed TF-IDF vectors, as an array.
+
+    The matrix of products is ``features`` squared, whatever the number of texts.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    rows = tfidf(df, text, features)
+    return PCA(k=size, inputCol="tfidf", outputCol="__p").fit(rows).transform(rows).withColumn("embedding", vector_to_array("__p")).select(*df.columns, "embedding")
+
+
 def weighted_embedding(df: DataFrame, group: str, vector: str, weight: str, size: int) -> DataFrame:
     """The weighted mean vector of each group, as ``size`` sums in one aggregate."""
     w = F.col(weight)

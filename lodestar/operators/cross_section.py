@@ -15,6 +15,18 @@ def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float
     return joined.select(*(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1])).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
+def winsorize_all(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Clips each column to its quantiles over the whole frame, which look ahead: for reports, not for features."""
+    cuts = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns))
+    joined = df.crossJoin(F.broadcast(cuts))
+    return joined.select(*(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1])).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def exposure_inputs(df: DataFrame, columns: list[str], panel: Panel = PANEL) -> DataFrame:
+    """Columns clipped to the date's quantiles, missing ones 0."""
+    return winsorize(df, columns, panel=panel).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
+
+
 def zscore(x: Column, bound: float | None = 3.0, panel: Panel = PANEL) -> Column:
     """Population z of the date; a spread below 1e-12 counts as 1."""
     sd = F.stddev_pop(x).over(panel.section)

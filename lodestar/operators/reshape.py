@@ -116,3 +116,32 @@ def one_hot(df: DataFrame, group: str, k: int = 11) -> DataFrame:
     ranked = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.row_number().over(Window.orderBy(F.desc("__n"), group)) - 1).where(F.col("__k") < k)
     out = df.join(F.broadcast(ranked.select(group, "__k")), group, "left")
     return out.select(*df.columns, *(F.coalesce((F.col("__k") == i).cast("int"), F.lit(0)).alias(f"{group}_{i}") for i in range(k)))
+
+
+def short_interest(releases: DataFrame, dates: DataFrame, entities: DataFrame, value: str, name: str = "ratio", panel: Panel = PANEL) -> DataFrame:
+    """(entity, dt, ratio) on every date: the last release of those that fall on one of the dates. Releases between dates are
+    lost, as they would be in a table indexed by the dates."""
+    last = releases.groupBy(panel.entity, panel.time).agg(F.max(value).alias("__v"))
+    whole = grid(dates, entities, last, [panel.time, panel.entity])
+    return whole.select(panel.entity, panel.time, F.last("__v", ignorenulls=True).over(panel.expanding()).alias(name))
+
+
+def aligned_mask(dates: DataFrame, mask: DataFrame, schema: int, flag: str = "mask", time: str = "dt", least: int = 3) -> DataFrame:
+    """(dt, mask) of a sealed mask on some dates, false where it has none; masks of an older schema are refused."""
+    if schema < least:
+        raise ValueError(f"schema {schema}, at least {least} is needed")
+    sealed = mask.groupBy(time).agg(F.bool_or(flag).alias(flag))
+    return dates.select(time).distinct().join(sealed, time, "left").select(time, F.coalesce(flag, F.lit(False)).alias(flag))
+
+
+def coverage_mask(is_option: Column, label: Column, feature: Column, spot: Column | None = None) -> Column:
+    """Option slots need a feature and a label, stock slots a label and, if given, a spot."""
+    stock = label.isNotNull() if spot is None else label.isNotNull() & spot.isNotNull()
+    return F.when(is_option, label.isNotNull() & feature.isNotNull()).otherwise(stock)
+
+
+def fixed_slots(slots_: DataFrame, dates: DataFrame, members: DataFrame, panel: Panel = PANEL) -> DataFrame:
+    """(dt, slot, entity, valid) of slots that keep their occupants: valid on the dates on which the occupant is a member."""
+    every = dates.select(panel.time).distinct().crossJoin(F.broadcast(slots_.select("slot", panel.entity)))
+    own = members.select(panel.time, panel.entity).distinct().withColumn("valid", F.lit(True))
+    return every.join(own, [panel.time, panel.entity], "left").withColumn("valid", F.coalesce("valid", F.lit(False))).select(panel.time, "slot", panel.entity, "valid")

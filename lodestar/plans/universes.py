@@ -273,3 +273,81 @@ def implied_volatilities(spark, sf_dir):
     s, years, call = F.col("p_retailprice"), F.col("p_size") / 365.0 + 0.1, F.col("p_partkey") % 2 == 0
     price = scalars.greeks(s, F.lit(1000.0), years, F.lit(0.25), 0.02, call)["price"]
     return tidy(p.select("p_partkey", latent.implied_volatility(price, s, F.lit(1000.0), years, F.lit(0.02), call).alias("vol")), 3)
+
+
+_GW = "SELECT QUANTILE_CONT(px, 0.01) AS ql, QUANTILE_CONT(px, 0.99) AS qh FROM p"
+
+
+@query("winsorized_overall", f"{P}, g AS ({_GW}) SELECT entity, dt, ROUND(LEAST(GREATEST(px, ql), qh) / 7.1::DOUBLE, 5) AS px FROM p, g")
+def winsorized_overall(spark, sf_dir):
+    from lodestar.operators import cross_section as X
+
+    made = X.winsorize_all(panel_frame(spark, sf_dir).select("entity", "dt", "px"), ["px"])
+    return tidy(made.withColumn("px", F.col("px") / 7.1), 5)
+
+
+@query("exposure_inputs", f"{P}, q AS (SELECT dt, QUANTILE_CONT(r, 0.01) AS ql, QUANTILE_CONT(r, 0.99) AS qh FROM p GROUP BY 1) SELECT entity, dt, ROUND(COALESCE(CASE WHEN r IS NOT NULL THEN LEAST(GREATEST(r, ql), qh) END, 0), 6) + 0.0 AS r FROM p JOIN q USING (dt)")
+def exposure_inputs(spark, sf_dir):
+    from lodestar.operators import cross_section as X
+
+    return tidy(X.exposure_inputs(panel_frame(spark, sf_dir).select("entity", "dt", "r"), ["r"]))
+
+
+@query("short_interest", f"{P}, rl AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS dt, MAX(l_discount) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2), d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders WHERE DAYOFWEEK(o_orderdate) BETWEEN 1 AND 5), e AS (SELECT DISTINCT entity FROM p), g AS (SELECT entity, dt, v FROM d CROSS JOIN e LEFT JOIN rl USING (entity, dt)) SELECT entity, dt, LAST_VALUE(v IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ratio FROM g")
+def short_interest(spark, sf_dir):
+    from lodestar.operators import reshape as S
+
+    releases = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").cast("date").alias("dt"), "l_discount")
+    dates = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("dt")).where(F.dayofweek("dt").between(2, 6)).distinct()
+    return S.short_interest(releases, dates, panel_frame(spark, sf_dir).select("entity").distinct(), "l_discount")
+
+
+@query("aligned_mask", "WITH m AS (SELECT CAST(o_orderdate AS DATE) AS dt, BOOL_OR(o_orderstatus = 'P') AS mask FROM orders GROUP BY 1), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM lineitem) SELECT dt, COALESCE(mask, FALSE) AS mask FROM d LEFT JOIN m USING (dt)")
+def aligned_mask(spark, sf_dir):
+    from lodestar.operators import reshape as S
+
+    sealed = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("dt"), (F.col("o_orderstatus") == "P").alias("mask"))
+    return S.aligned_mask(table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("dt")), sealed, 3)
+
+
+@query("coverage_masks", f"{P} SELECT entity, dt, CASE WHEN entity % 2 = 0 THEN r IS NOT NULL AND n >= 2 ELSE r IS NOT NULL AND volume > 20 END AS valid FROM p")
+def coverage_masks(spark, sf_dir):
+    from lodestar.operators import reshape as S
+
+    only = lambda c, v: F.when(c, F.col(v))
+    made = S.coverage_mask(F.col("entity") % 2 == 0, F.col("r"), only(F.col("n") >= 2, "px"), only(F.col("volume") > 20, "px"))
+    return panel_frame(spark, sf_dir).select("entity", "dt", made.alias("valid"))
+
+
+@query("fixed_slots", f"{P}, d AS (SELECT DISTINCT dt FROM p), s AS (SELECT (entity // 10)::INT AS slot, entity FROM p WHERE entity % 10 = 3 GROUP BY entity), m AS (SELECT DISTINCT dt, entity FROM p WHERE n >= 2) SELECT d.dt, s.slot, s.entity, m.entity IS NOT NULL AS valid FROM d CROSS JOIN s LEFT JOIN m ON m.dt = d.dt AND m.entity = s.entity")
+def fixed_slots(spark, sf_dir):
+    from lodestar.operators import reshape as S
+
+    df = panel_frame(spark, sf_dir)
+    slots_ = df.where("entity % 10 = 3").select(F.floor(F.col("entity") / 10).cast("int").alias("slot"), "entity").distinct()
+    return S.fixed_slots(slots_, df.select("dt"), df.where("n >= 2"))
+
+
+@query("risk_premia", f"{P}, v AS (SELECT entity, dt, {gate(_HV, 'r', 21, 10)} * SQRT(252.0) AS hv, 0.15 + spread AS iv FROM p) SELECT entity, dt, ROUND(iv * iv - hv * hv, 5) + 0.0 AS vrp, ROUND(iv - hv, 6) + 0.0 AS level FROM v")
+def risk_premia(spark, sf_dir):
+    from lodestar.functions import rolling as R
+
+    iv, hv = 0.15 + F.col("spread"), R.volatility(F.col("r"), 21)
+    return tidy(panel_frame(spark, sf_dir).select("entity", "dt", R.variance_risk_premium(iv, hv).alias("vrp"), (iv - hv).alias("level")), 6, vrp=5)
+
+
+@query("tail_asymmetry")
+def tail_asymmetry(spark, sf_dir):
+    from lodestar.functions import rolling as R
+
+    df = panel_frame(spark, sf_dir).withColumn("m", F.avg("r").over(PANEL.section))
+    return tidy(R.tail_asymmetry(df, "r", "m").select("entity", "dt", "tail_asymmetry"))
+
+
+@query("text_embeddings")
+def text_embeddings(spark, sf_dir):
+    from lodestar.functions import text
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("words"))
+    made = text.embedded(p, "words", 4, 256)
+    return tidy(made.select("p_partkey", *(F.abs(F.col("embedding")[i]).alias(f"e{i}") for i in range(4))), 5)
