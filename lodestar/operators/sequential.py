@@ -28,19 +28,32 @@ def residual_volatility(y: Column, x: Column, window: int = 63, panel: Panel = P
 
 
 def rolling_regression(df: DataFrame, y: str, factors: list[str], window: int = 252, hold: int = 21, panel: Panel = PANEL) -> DataFrame:
-    """Adds the sum of the last residuals without the newest ``hold`` of them, from trailing least squares on factors."""
+    """Adds the sum of the last residuals without the newest ``hold`` of them, from trailing least squares on factors.
+
+    A series' windows are fitted together: their products are one batch of small matrices. Rows with a missing value are no
+    part of a window; at least half the window is needed.
+    """
+    k = len(factors) + 1
+    least = max(window // 2, k + 1)
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(panel.time).reset_index(drop=True)
-        v = pdf[[y, *factors]].to_numpy(float)
-        out = np.full(len(pdf), np.nan)
-        for t in range(window - 1, len(pdf)):
-            part = v[t - window + 1 : t + 1]
-            part = part[np.isfinite(part).all(1)]
-            if len(part) >= max(window // 2, len(factors) + 2):
-                a = np.column_stack([np.ones(len(part)), part[:, 1:]])
-                resid = part[:, 0] - a @ np.linalg.lstsq(a, part[:, 0], rcond=None)[0]
-                out[t] = resid[:-hold].sum() if hold else resid.sum()
+        v, out = pdf[[y, *factors]].to_numpy(float), np.full(len(pdf), np.nan)
+        ok = np.isfinite(v).all(1)
+        a = np.where(ok[:, None], np.column_stack([np.ones(len(v)), v[:, 1:]]), 0.0)
+        b = np.where(ok, v[:, 0], 0.0)
+        step = max(1, (1 << 20) // (window * k))
+        for low in range(window - 1, len(v), step):
+            high = min(low + step, len(v))
+            cut = slice(low - window + 1, high)
+            windows = lambda x: np.lib.stride_tricks.sliding_window_view(x[cut], window, axis=0)  # noqa: E731, B023
+            xs, ys, use = windows(a), windows(b), windows(ok)
+            inverse = np.linalg.pinv(np.einsum("mit,mjt->mij", xs, xs), rcond=1e-13, hermitian=True)
+            beta = np.einsum("mij,mj->mi", inverse, np.einsum("mit,mt->mi", xs, ys))
+            rest = ys - np.einsum("mit,mi->mt", xs, beta)
+            after = np.cumsum(use[:, ::-1], axis=1)[:, ::-1]  # usable rows from here to the window's end
+            total = np.where(use & (after > hold), rest, 0.0).sum(1)
+            out[low:high] = np.where(use.sum(1) >= least, total, np.nan)
         return pdf.assign(residual_momentum=out)[[panel.entity, panel.time, "residual_momentum"]]
 
     kinds = dict(df.dtypes)

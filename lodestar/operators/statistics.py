@@ -19,12 +19,12 @@ from lodestar.panel import UNBOUNDED, correlation, ratio
 
 
 def hac_mean(df: DataFrame, x: str, time: str, by: str) -> DataFrame:
-    """Mean, Newey-West standard error and t of each series; lags floor(4 (n / 100)^(2 / 9))."""
+    """Mean, Newey-West standard error and t of each series; lags floor(4 (n / 100)^(2 / 9)). More than 64 lags fail."""
     w, whole = Window.partitionBy(by).orderBy(time), Window.partitionBy(by)
     rows = df.where(F.col(x).isNotNull()).select(by, time, x).withColumns({"__i": F.row_number().over(w), "__n": F.count(F.lit(1)).over(whole), "__e": F.col(x) - F.avg(x).over(whole)})
     lags = rows.withColumn("__l", F.floor(4 * F.pow(F.col("__n") / 100, F.lit(2 / 9))).cast("int"))
     # each row's product with those up to L rows before it, by a window array of bounded length
-    most = F.col("__l")
+    most = F.when(F.col("__l") > 64, F.raise_error("a series is too long for the lags held").cast("int")).otherwise(F.col("__l"))
     past = F.collect_list("__e").over(w.rowsBetween(-64, 0))
     terms = lags.withColumn("__past", F.reverse(past)).withColumn(
         "__s", F.aggregate(F.sequence(F.lit(0), F.least(most, F.size("__past") - 1)), F.lit(0.0), lambda a, j: a + F.when(j == 0, 1.0).otherwise(2 * (1 - j / (most + 1))) * F.col("__e") * F.get("__past", j))

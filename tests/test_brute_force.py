@@ -98,6 +98,20 @@ def test_tail_asymmetry(spark, panel, wide):
             assert got[t, e] == pytest.approx(expected)
 
 
+def test_residual_momentum(spark, panel, wide):
+    df = panel.withColumns({"f1": F.avg("r").over(R.PANEL.section), "f2": F.sin(F.dayofyear("dt") * 0.7)})
+    got = matrix(G.rolling_regression(df, "r", ["f1", "f2"], 30, 5), "residual_momentum")
+    f = np.column_stack([np.nanmean(wide, axis=1), np.sin(np.array([day(t).timetuple().tm_yday for t in range(80)]) * 0.7)])
+    assert np.isnan(got[:29]).all()
+    for t in range(29, 80):
+        for e in range(5):
+            part = np.column_stack([wide[:, e], f])[t - 29 : t + 1]
+            part = part[np.isfinite(part).all(1)]
+            a = np.column_stack([np.ones(len(part)), part[:, 1:]])
+            rest = part[:, 0] - a @ np.linalg.lstsq(a, part[:, 0], rcond=None)[0]
+            assert got[t, e] == pytest.approx(rest[:-5].sum(), abs=1e-9)
+
+
 # statistics
 
 
