@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.panel import PANEL, Panel, clip, correlation, ratio
+from lodestar.session import cut
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, panel: Panel = PANEL) -> DataFrame:
@@ -15,11 +16,53 @@ def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float
     return joined.select(*(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1])).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
+def overall_quantiles(df: DataFrame, column: str, shares: list[float], width: int = 100_000) -> list[float | None]:
+    """Exact interpolated quantiles of a whole column, null if it has no values.
+
+    Each rank is enclosed by bounds that a sketch proposes and counts confirm or narrow, until the values between them are at
+    most ``width`` or all alike. Only those are sorted, so no task holds the column.
+    """
+    v = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = v.count()
+    if n == 0:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    ranks = sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))})
+    at: dict[int, float] = {}
+    band, below = v, 0  # the values still in question, and how many lie before them
+    for first in ranks:
+        while first not in at:
+            size = band.count()
+            if size <= width:
+                kept = sorted((r[0] for r in band.collect()), key=lambda x: (x != x, x))  # NaN is the largest, as in ORDER BY
+                at |= {r: kept[r - below] for r in ranks if below <= r < below + size}
+                break
+            share, slack = (first - below) / size, max(width / size / 8, 1e-6)
+            low, high = band.agg(F.percentile_approx("v", [max(share - slack, 0.0), min(share + slack, 1.0)], max(10_000, int(4 / slack)))).first()[0]
+            c = band.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") == low), F.count_if((F.col("v") > low) & (F.col("v") < high)), F.count_if(F.col("v") == high)).first()
+            edges = [below, below + c[0], below + c[0] + c[1], below + c[0] + c[1] + c[2], below + sum(c)]
+            at |= {r: low for r in ranks if edges[1] <= r < edges[2]}
+            if high > low:
+                at |= {r: high for r in ranks if edges[3] <= r < edges[4]}
+            if first < edges[1]:
+                band = band.where(F.col("v") < low)
+            elif first >= edges[4]:
+                band, below = band.where(F.col("v") > high), edges[4]
+            elif first not in at:
+                band, below = band.where((F.col("v") > low) & (F.col("v") < high)), edges[2]
+        band, below = v, 0
+    return [at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, n - 1)] - at[int(p)]) if p > int(p) else at[int(p)] for p in places]
+
+
 def winsorize_all(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clips each column to its quantiles over the whole frame, which look ahead: for reports, not for features."""
-    cuts = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns))
-    joined = df.crossJoin(F.broadcast(cuts))
-    return joined.select(*(F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1])).alias(c) if c in columns else F.col(c) for c in df.columns))
+    """Clips each column to its quantiles over the whole frame, which look ahead: for reports, not for features.
+
+    The frame is written to the shared folder once, as it is read several times.
+    """
+    df = cut(df)
+    cuts = {c: [F.lit(q).cast("double") for q in overall_quantiles(df, c, [low, high])] for c in columns}
+    clipped = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), cuts[c][0]), cuts[c][1]))
+    return df.select(*(clipped(c).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def exposure_inputs(df: DataFrame, columns: list[str], panel: Panel = PANEL) -> DataFrame:
@@ -36,8 +79,8 @@ def zscore(x: Column, bound: float | None = 3.0, panel: Panel = PANEL) -> Column
 
 def normalise(df: DataFrame, columns: list[str], panel: Panel = PANEL) -> DataFrame:
     """The law of the engine: clip to the 1 % and 99 % quantiles, z-score, clip to 3."""
-    cut = winsorize(df, columns, panel=panel)
-    return cut.withColumns({c: zscore(F.col(c), panel=panel) for c in columns})
+    clipped = winsorize(df, columns, panel=panel)
+    return clipped.withColumns({c: zscore(F.col(c), panel=panel) for c in columns})
 
 
 def ordinal_rank(x: str, panel: Panel = PANEL, within: Column | None = None) -> Column:
