@@ -100,8 +100,12 @@ def capped(weight: Column, before: Column, turnover: Column, cap: float) -> Colu
 
 def capped_path(df: DataFrame, cap: float, weight: str = "weight", by: list[str] | None = None, panel: Panel = PANEL) -> DataFrame:
     """(by, dt, entity, weight): each date's wanted weights approached from what is held, absolute changes adding up to ``cap``
-    at most. A step needs the whole path before it, so a path is one task's; paths run in parallel."""
-    by = by or []
+    at most. A single path's rows pass one task, which holds a weight a name; of several paths, each is one task's."""
+    if not by:
+        from lodestar.operators.sequential import walked
+
+        slim = df.select(panel.time, panel.entity, F.coalesce(weight, F.lit(0.0)).cast("double").alias("__w"))
+        return walked(slim, "__w", "capped", 0.0, {"cap": cap}, panel)
     kinds = dict(df.dtypes)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,8 +121,8 @@ def capped_path(df: DataFrame, cap: float, weight: str = "weight", by: list[str]
         return pd.DataFrame({panel.time: np.repeat(m.index.to_numpy(), m.shape[1]), panel.entity: np.tile(m.columns.to_numpy(), len(m)), "weight": out.ravel()}).assign(**own)[[*by, panel.time, panel.entity, "weight"]]
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*by, panel.time, panel.entity]), "weight double"])
-    slim = df.select(*by, panel.time, panel.entity, F.coalesce(weight, F.lit(0.0)).cast("double").alias("__w")).withColumn("__all", F.lit(0))
-    return slim.groupBy(*(by or ["__all"])).applyInPandas(walk, schema)
+    slim = df.select(*by, panel.time, panel.entity, F.coalesce(weight, F.lit(0.0)).cast("double").alias("__w"))
+    return slim.groupBy(*by).applyInPandas(walk, schema)
 
 
 def _section_z(x: Column, panel: Panel) -> Column:
