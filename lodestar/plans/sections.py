@@ -10,6 +10,7 @@ from lodestar.operators import reshape as S
 from lodestar.panel import PANEL
 from lodestar.plans.registry import PANEL_SQL as P
 from lodestar.plans.registry import panel_frame, query, table, tidy
+from lodestar.session import cut
 
 Q = "q AS (SELECT dt, QUANTILE_CONT(px, 0.01) AS lo1, QUANTILE_CONT(px, 0.99) AS hi1, QUANTILE_CONT(r, 0.01) AS lo2, QUANTILE_CONT(r, 0.99) AS hi2 FROM p GROUP BY dt), c AS (SELECT entity, dt, LEAST(GREATEST(px, lo1), hi1) AS px, CASE WHEN r IS NOT NULL THEN LEAST(GREATEST(r, lo2), hi2) END AS r FROM p JOIN q USING (dt))"
 RK = "CASE WHEN {x} IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY dt, {x} IS NULL ORDER BY {x}, entity) END"
@@ -143,9 +144,9 @@ def mask_overlap(spark, sf_dir):
 @query("wide_and_back", f"{P} SELECT dt, 'px_' || entity AS field, ROUND(MAX(px / 7.1::DOUBLE), 6) AS value FROM p GROUP BY 1, 2")
 def wide_and_back(spark, sf_dir):
     df = panel_frame(spark, sf_dir).withColumn("px", F.col("px") / 7.1)
-    names = [r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]  # a wide table's columns
-    table_ = S.wide(df, "dt", "entity", "px", names)
-    return tidy(S.long(table_, ["dt"], [c for c in table_.columns if c != "dt"]))
+    names = cut(S.blocks(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity")), "entity"))
+    table_ = S.wide_blocks(df, "dt", "entity", "px", names)
+    return tidy(S.long_blocks(table_, "dt", "entity", names, "px"))
 
 
 @query("filled_grid", f"""{P}, d AS (SELECT DISTINCT dt FROM p), e AS (SELECT DISTINCT entity FROM p), g AS (SELECT d.dt, e.entity, px FROM d CROSS JOIN e LEFT JOIN p ON p.dt = d.dt AND p.entity = e.entity)
